@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding
+from . import decontaminate, packing, secrets, sharding, simhash
 
 QUERIES = {
     "op4_interleave": sharding.op4_interleave,
+    "op5_best_fit": packing.op5_best_fit,
+    "op6_winnowing": decontaminate.op6_winnowing,
+    "op8_simhash": simhash.op8_simhash,
     "op9_secrets": secrets.op9_secrets,
 }
 
 SQL = {
     "op4_interleave": sharding.OP4_SQL,
+    "op6_winnowing": decontaminate.OP6_SQL,
 }
