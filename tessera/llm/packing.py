@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -18,8 +19,12 @@ from tokenizers import Tokenizer
 from .common import bucket_count, distributed_rank, stable, table
 
 #: Words whose ids a worker remembers; beyond it, new words are looked up again in each batch.
-REMEMBERED = 200_000
+REMEMBERED = 700_000
+#: Code points of texts looked up together; a longer text is taken alone.
+TOGETHER = 4_000_000
 _ODD = regex.compile("[\x1c-\x1f]")
+#: Marks that never join the letter or digit before them in a token.
+_MARKS = ".,!?;:%$&*#|"
 
 
 class WordIds:
@@ -28,37 +33,98 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.mark, self.between = plain[0] if plain else (None, None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word. Many are encoded at once with a special token, which parts the text before all else, between them."""
+        out = {}
+        # letters alone are one unit of merging, whose last id alone ends a word: white space between them is enough
+        letters = [w for w in words if w.isalpha()]
+        for a in range(0, len(letters), 1000):
+            own = letters[a : a + 1000]
+            ids = self._encode(" ".join(own))
+            cuts = [0, *(np.flatnonzero(self.last[ids]) * 4 + 4).tolist()]
+            if len(cuts) == len(own) + 1 and cuts[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                out |= {w: raw[x:y] for w, x, y in zip(own, cuts[:-1], cuts[1:], strict=True)}
+        words = [w for w in words if w not in out]
+        if self.mark is None:
+            return out | {w: self._encode(w).tobytes() for w in words}
+        for w in [w for w in words if self.between in w]:
+            out[w] = self._encode(w).tobytes()
+        words = [w for w in words if w not in out]
+        for a in range(0, len(words), 1000):
+            own = words[a : a + 1000]
+            ids = self._encode(self.between.join(own))
+            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw = ids.tobytes()
+            out |= {w: raw[4 * x + 4 : 4 * y] for w, x, y in zip(own, cuts[:-1], cuts[1:], strict=True)}
+        return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with id 0 at the end."""
-        for a in range(0, len(texts), 64):
-            yield from self._some(texts[a : a + 64])
+        own, size = [], 0
+        for t in texts:
+            own.append(t)
+            size += len(t)
+            if size >= TOGETHER:
+                yield from self._some(own)
+                own, size = [], 0
+        yield from self._some(own)
 
     def _some(self, texts: list[str]) -> list[bytes]:
         # Python splits at four control characters that are no white space to the tokenizer
         words = [None if _ODD.search(t) else t.split() for t in texts]
-        new = list({w for own in words if own for w in own if w not in self.known})
-        fresh = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        if len(self.known) < REMEMBERED:
-            self.known |= fresh
-            ids = self.known
-        else:
-            ids = Lookup(self.known, fresh)
-        return [(self._encode([t])[0] if own is None else b"".join([ids[w] for w in own])) + bytes(4) for t, own in zip(texts, words, strict=True)]
-
-
-class Lookup(dict):
-    """The batch's own words first, then the remembered ones."""
-
-    def __init__(self, known: dict, fresh: dict):
-        super().__init__(fresh)
-        self.known = known
-
-    def __missing__(self, word: str) -> bytes:
-        return self.known[word]
+        known = self.known
+        new = set().union(*filter(None, words)).difference(known)
+        known |= self._fresh(new)
+        out = [(self._encode(t).tobytes() if own is None else b"".join(map(known.__getitem__, own))) + bytes(4) for t, own in zip(texts, words, strict=True)]
+        if len(known) > REMEMBERED:
+            for w in new:
+                known.pop(w, None)
+        return out
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered: those of the lower-cased stem and of the marks at its end, if it has such parts."""
+        known, fresh, later, need = self.known, {}, [], set()
+        for w in new:
+            low, tail = _parts(w)
+            ids, end = known.get(low), known.get(tail) if tail else b""
+            if ids is None or end is None:
+                later.append(w)
+                need.add(low)
+                need.add(tail)
+            else:
+                fresh[w] = ids + end
+        made = self._words(sorted(x for x in need if x and x not in known))
+        made[""] = b""
+        for w in later:
+            low, tail = _parts(w)
+            fresh[w] = (made[low] if low in made else known[low]) + (made[tail] if tail in made else known[tail])
+        del made[""]
+        # stems are remembered too while there is room
+        return made | fresh if len(known) < REMEMBERED else fresh
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """Stem in lower case, and the marks at the end; a word that does not part so is its own stem."""
+    if word.isalpha():
+        stem = word
+    else:
+        stem = word.rstrip(_MARKS)
+        if not stem or not stem[-1].isalnum():
+            return word, ""
+    # below U+0180 lower case and composed form do not depend on each other
+    if stem.isascii() or max(stem) < "\u0180":
+        return stem.lower(), word[len(stem) :]
+    return word, ""
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -66,6 +132,7 @@ _LOADED: dict[str, WordIds] = {}
 
 def _ids(path: str) -> WordIds:
     if path not in _LOADED:
+        gc.set_threshold(200_000)  # the cache holds no cycles, but the collector would walk it again and again
         _LOADED[path] = WordIds(path)
     return _LOADED[path]
 
