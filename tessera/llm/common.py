@@ -40,17 +40,23 @@ def bucket_count(df: DataFrame, rows: int) -> int:
     return max(1, min(rows // 128, 8 * parts))
 
 
+#: Rows of bucket starts up to which they are broadcast (about 10 MB); beyond, the join is a shuffled one.
+BROADCAST_ROWS = 200_000
+
+
 def distributed_rank(df: DataFrame, by: list[str], bucket: str, order: list[Column], rank: str, total: str) -> DataFrame:
     """Zero-based rank of each row within its key, and the key's row count, without gathering a key.
 
     `bucket` is an integer column that never decreases along `order` within a key. Rows are counted by
     (key, bucket), the counts' running sums give each bucket's first rank, and rows are numbered inside
-    their bucket only, so a key with a third of all rows is spread over all buckets. The key columns and
-    the bucket must not be null.
+    their bucket only, so a key with a third of all rows is spread over all buckets. The starts are counted, and
+    broadcast only if they are few. The key columns and the bucket must not be null.
     """
     keys = [*by, bucket]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy(*by)).alias(total))
+    starts = stable(counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy(*by)).alias(total)))
+    if starts.count() <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
     inner = Window.partitionBy(*keys).orderBy(*order)
     return df.join(starts, keys).withColumn(rank, F.col("__start") + F.row_number().over(inner) - 1).drop("__start")
