@@ -40,6 +40,11 @@ def bucket_count(df: DataFrame, rows: int) -> int:
     return max(1, min(rows // 128, 8 * parts))
 
 
+def sized(df: DataFrame, rows: int, each: int = 5_000) -> DataFrame:
+    """df, whose last step follows a shuffle, in no more tasks and files than `each` narrow rows a file make."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 #: Rows of bucket starts up to which they are broadcast (about 10 MB); beyond, the join is a shuffled one.
 BROADCAST_ROWS = 200_000
 
@@ -55,7 +60,8 @@ def distributed_rank(df: DataFrame, by: list[str], bucket: str, order: list[Colu
     keys = [*by, bucket]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = stable(counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy(*by)).alias(total)))
+    starts = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy(*by)).alias(total))
+    starts = stable(starts.coalesce(8))  # a few small files: the table has a row per key and bucket
     if starts.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
     inner = Window.partitionBy(*keys).orderBy(*order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, distributed_rank, table, utf8
+from .common import bucket_count, distributed_rank, sized, table, utf8
 
 
 def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "source") -> DataFrame:
@@ -24,7 +24,7 @@ def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 42, id_col:
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.when(F.col(stratum_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(stratum_col))).alias("__stratum"),
-        (F.octet_length(utf8(text_col)) + 1).cast("long").alias("size"),
+        (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(utf8(text_col)).alias("text_crc32"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("__h"),
     )
@@ -37,7 +37,8 @@ def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 42, id_col:
     placed = distributed_rank(ranked, [], "__b", [F.col("frac"), F.col("__stratum"), *ties], "position", "__rows")
     placed = placed.withColumn("shard", F.expr(f"position * {shards} div __rows").cast("int"))
     first = F.expr(f"(shard * __rows + {shards - 1}) div {shards}")
-    return placed.select("doc_id", F.when(F.col("__stratum") != "", F.expr("substring(__stratum, 2)")).alias("stratum"), "size", "text_crc32", "frac", "position", "shard", (F.col("position") - first).alias("slot"))
+    out = placed.select("doc_id", F.when(F.col("__stratum") != "", F.expr("substring(__stratum, 2)")).alias("stratum"), "size", "text_crc32", "frac", "position", "shard", (F.col("position") - first).alias("slot"))
+    return sized(out, rows)
 
 
 def op4_interleave(spark, sf_dir: str) -> DataFrame:
