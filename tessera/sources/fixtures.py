@@ -1,0 +1,82 @@
+"""Small tables for features that the given tables lack, for Spark and as SQL, from the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_S = {"a": "array<string>", "b": "boolean", "i": "bigint", "s": "string"}
+
+#: name -> (column and kind, rows). Kinds: s text, i number, b truth, a list of texts.
+ROWS: dict[str, tuple[str, list[tuple]]] = {
+    "fx_pages": (
+        "slug:s declared:s path:s title:s tags:a aliases:a cited:a body:s generated:b repaired:b error:s",
+        [
+            ("abx", "abx", "abx.md", "Antibiotics", [], [], [], "Overview of [[abx:cef]]. Also [[abx:cef|again]].", False, False, None),
+            ("abx:cef", "abx:cef", "abx/cef.md", "Cef", [], ["abx:ceph", "shared"], ["sources/b/two.md|s2", "a/one.md|"], "Back to [[abx:pen]] at 12:30 or 3:1. Old name abx:oldname here, see abx:pen too. [[missing]] then [[missing]] again.", False, False, None),
+            ("abx:penicillin", "abx:penicillin", "abx/penicillin.md", "Penicillin", ["abx", "core"], ["abx:pen"], ["sources/a/one.md|s1"], "See [[ abx:cef | Cef ]] and [[ops:hygiene]] and [[abx:penicillin]]. Also [[abx:ceph]].", False, False, None),
+            ("abx:side-effects:misc", "abx:cef", "abx/side-effects/misc.md", "Misc", ["x"], [], ["sources/c/gone.md|"], "Nothing but abx:side-effects:gone and ops:gone here.", False, False, None),
+            ("index", "index", "index.md", "Index", [], [], [], "[[abx:cef]] [[lonely]]", True, False, None),
+            ("lonely", "lonely", "lonely.md", "Lonely", [], [], [], "No one links here. [[Not A Slug|odd]]", False, False, None),
+            ("ops:hygiene", "ops:hygiene", "ops/hygiene.md", "Hygiene", ["ops"], ["shared", "index", "abx:cef"], ["sources/b/two.md|s9"], "Wash hands. [[abx]]", False, True, None),
+            ("ops:named", "ops:named", "ops/named.md", "Named", [], [], [], "Only the log names this.", False, False, None),
+            ("Bad_Slug", None, "Bad_Slug.md", None, [], [], [], "raw text [[abx:cef]]", False, False, "no YAML"),
+        ],
+    ),
+    "fx_sources": (
+        "rel_path:s sha256:s document_key:s superseded_by:s seq:i",
+        [
+            ("a/one.md", "s1", "a/one", "b/two.md", 1), ("b/two.md", "s2", "a/one", "c/three.md", 2), ("c/three.md", "s3", "a/one", None, 3), ("d/x.md", "s4", None, "d/y.md", 4), ("d/y.md", "s5", None, "d/x.md", 5),
+            ("e/lost.md", "s6", "e", "e/lost2.md", 6), ("e/lost2.md", "s7", "e", "e/kept.md", 7), ("e/kept.md", "s8", "e", None, 8), ("e/old.md", "s9", "e", "e/lost.md", 5), ("f/abcdef012345/r.csv.md", "abcdef0123456789", None, None, 9),
+            ("g/fedcba987654/r.md", "fedcba9876543210", None, None, 10), ("f/000000000000/r.txt", "0000000000001111", None, None, 11),
+        ],
+    ),
+    "fx_disk": ("path:s", [("sources/a/one.md",), ("sources/b/two.md",), ("sources/c/three.md",), ("sources/d/x.md",), ("sources/d/y.md",), ("sources/e/kept.md",), ("sources/e/old.md",), ("sources/new/file.md",), ("sources_local/secret.md",), ("sources/f/abcdef012345/r.csv.md",), ("sources/g/fedcba987654/r.md",), ("sources/f/000000000000/r.txt",)]),
+    "fx_ingestions": ("id:i rel_path:s pages_touched:a", [(1, "a/one.md", ["abx"]), (2, "a/one.md", ["abx:cef", "abx"]), (3, "nowhere.md", []), (4, "c/three.md", ["lonely"])]),
+    "fx_refs": ("rel_path:s token:s page_slug:s exact:b", [("a/one.md", "abx:cef", "abx:cef", True), ("a/one.md", "old", "removed", True), ("b/two.md", "abx:pen", "abx:penicillin", False)]),
+    "fx_texts": ("rel_path:s text:s", [("a/one.md", "names abx:cef and abx:nowhere and 12:30 here."), ("b/two.md", "names abx:pen and ops:zzz and zzz:ops too."), ("c/three.md", "[[abx:cef]] and [[ghost]] beside abx:penicillin here.")]),
+    "fx_log": ("no:i text:s", [(1, "# 2024-01-01"), (2, "- what is the dose?"), (3, "* what is the dose?  "), (4, "compact of ops:named done"), (5, "## Where is it kept?"), (6, "statement."), (7, "?")]),
+    "fx_people": ("text:s", [("# People",), ("- Ann Bee <ann@x.org> [aliases: a@y.org, AB@z.org]",), ("- Bob <bob@x.org>",), ("Carl <carl@x.org>",), ("- Dee <dee@x.org> [alias: d@x.org]",)]),
+    "fx_commits": ("sha:s email:s subject:s", [("c1", "ANN@x.org", "compact: abx:cef"), ("c2", "ab@z.org", "extend: abx"), ("c3", "who@else.org", "log: x"), ("c4", "d@x.org", "compact: abx:cef")]),
+    "fx_staged": ("status:s path:s new_path:s", [("M", "pages/a.md", None), ("A", "pages/b.md", None), ("D", "pages/c.md", None), ("R100", "pages/d.md", "pages/e.md"), ("C75", "pages/f.md", "pages/g.md")]),
+    "fx_paths": ("path:s", [("pages/abx/cef.md",), ("pages/index.md",), ("sources/a/one.TXT",), ("sources/a/one.pdf",), ("sources_local/x.md",), ("notes/.hidden/x.md",), ("a-b/x.md",), ("a/x.md",), ("noext",)]),
+    "fx_keys": ("raw:s", [("Report.CSV.md",), ("/a//B/c.txt/",), (".md",), ("doi/10.1001-jama-2026",), ("a/.md",), ("x.json.yaml.yml",), ("  Spaced / Name .md",)]),
+    "fx_origins": ("origin:s other:s", [("p/fach/alpha/out/d.md", "p/fach/beta/out/d.md"), ("p/a1b2c3d4/d.md", "p/b1b2c3d4/d.md"), ("p/q/d.md", "p/q/e.md"), ("x/d.md", None), ("p/abc/d.md", "p/abd/z/d.md")]),
+    "fx_names": ("name:s", [("abx:cef",), ("abx:pen",), ("shared",), ("index",), ("nothing",), ("abx:ceph",)]),
+    "fx_lat": ("ms:i", [(n,) for n in range(10, 210, 10)]),
+    "fx_evals": ("eval_idx:i fingerprint:s score:i mean_ms:i", [(0, "a", 5, 9), (1, "b", 8, 20), (2, "c", 8, 10), (3, "a", 9, 1), (4, "d", 8, 10)]),
+    "fx_spelled": ("spelling:s", [("a/one.md",), ("sources/a/one.md",), ("sources_local/a/one.md",), ("b/only.md",), ("nope.md",)]),
+    "fx_titles": ("stem:s body:s", [("my-great_note", "text\n  #  Heading one  \n# two"), ("Plain", "no heading"), ("--", "## two only"), ("x_y", "#nospace")]),
+}
+
+
+def frame(spark: SparkSession, name: str) -> DataFrame:
+    columns, rows = ROWS[name]
+    return spark.createDataFrame(rows, ", ".join(f"{c.split(':')[0]} {_S[c.split(':')[1]]}" for c in columns.split()))
+
+
+def _literal(v, kind: str) -> str:
+    if v is None:
+        return {"a": "NULL::VARCHAR[]", "b": "NULL::BOOLEAN", "i": "NULL::BIGINT", "s": "NULL::VARCHAR"}[kind]
+    if kind == "a":
+        return "[" + ", ".join(_literal(x, "s") for x in v) + "]::VARCHAR[]"
+    if kind == "s":
+        return "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return str(v).upper() if kind == "b" else f"{v}::BIGINT"
+
+
+def cte(*names: str) -> str:
+    """The tables as common table expressions, to follow WITH."""
+    out = []
+    for name in names:
+        columns, rows = ROWS[name]
+        kinds = [c.split(":") for c in columns.split()]
+        values = ", ".join("(" + ", ".join(_literal(v, k) for v, (_, k) in zip(r, kinds, strict=True)) + ")" for r in rows)
+        out.append(f"{name} AS (SELECT * FROM (VALUES {values}) AS t({', '.join(c for c, _ in kinds)}))")
+    return ", ".join(out)
+
+
+def pages(spark: SparkSession) -> DataFrame:
+    """fx_pages with provenance as array<struct<path, sha256>>."""
+    cut = F.transform("cited", lambda c: F.struct(F.substring_index(c, "|", 1).alias("path"), F.nullif(F.substring_index(c, "|", -1), F.lit("")).alias("sha256")))
+    return frame(spark, "fx_pages").withColumn("provenance", cut)
