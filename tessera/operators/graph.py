@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rename_links, wikilinks
+from ..plans.stable import stable
 
 RESERVED = "index"
 
@@ -53,21 +54,26 @@ def backlink_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("target", "src").agg(F.count(F.lit(1)).alias("c")).groupBy("target").agg(F.sum("c").alias("n_links"), F.count(F.lit(1)).alias("n_referrers"))
 
 
-def chains(sources: DataFrame, limit: int = 64) -> DataFrame:
-    """rel_path, newest, hops: follow superseded_by to the end by pointer doubling; cycles end where they close.
+def chains(sources: DataFrame) -> DataFrame:
+    """rel_path, newest, hops: follow superseded_by to the end by pointer doubling.
 
-    sources(rel_path, superseded_by). After n rounds a pointer spans 2^n versions, so no chain needs more than `limit` rounds.
-    A pointer to a missing row ends at the row that holds it. Rows on a cycle stay with themselves.
+    sources(rel_path, superseded_by). After n rounds a pointer spans 2^n versions, so the longest chain takes the logarithm of its
+    length in rounds; each is one join of narrow rows whose outcome is written to the checkpoint folder. A pointer to a
+    missing row ends at the row that holds it. Rows that run into a cycle stay with themselves.
     """
-    known = sources.select(F.col("rel_path").alias("to"))
-    state = sources.select("rel_path", F.col("superseded_by").alias("to")).join(known, "to", "left_semi")
-    state = sources.select("rel_path").join(state, "rel_path", "left").select("rel_path", F.coalesce("to", "rel_path").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("hops"))
     n = sources.count()
-    for _ in range(min(limit, max(1, n.bit_length()))):
+    known = sources.select(F.col("rel_path").alias("to"))
+    led = sources.select("rel_path", F.col("superseded_by").alias("to")).join(known, "to", "left_semi")
+    state = sources.select("rel_path").join(led, "rel_path", "left")
+    state = stable(state.select("rel_path", F.coalesce("to", "rel_path").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("hops")))
+    for _ in range(n.bit_length()):
         nxt = state.select(F.col("rel_path").alias("to"), F.col("to").alias("further"), F.col("hops").alias("more"))
-        state = state.join(nxt, "to", "left").select("rel_path", F.col("further").alias("to"), (F.col("hops") + F.col("more")).alias("hops"))
-    # what has made more hops than there are rows runs in a cycle
-    return state.select("rel_path", F.when(F.col("hops") < n, F.col("to")).otherwise(F.col("rel_path")).alias("newest"), F.when(F.col("hops") < n, F.col("hops")).otherwise(F.lit(0).cast("long")).alias("hops"))
+        state = stable(state.join(nxt, "to").select("rel_path", F.col("further").alias("to"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("more") > 0).alias("moved")))
+        if not state.filter("moved").limit(1).count():
+            break
+    # what has made as many hops as there are rows runs in a cycle
+    ended = F.col("hops") < n
+    return state.select("rel_path", F.when(ended, F.col("to")).otherwise(F.col("rel_path")).alias("newest"), F.when(ended, F.col("hops")).otherwise(F.lit(0).cast("long")).alias("hops"))
 
 
 def rename(pages: DataFrame, refs: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
