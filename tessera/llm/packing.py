@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bucket_count, distributed_rank, stable, table
+from .common import bucket_count, distributed_rank, sized, stable, table
 
 #: Words whose ids a worker remembers; beyond it, new words are looked up again in each batch.
 REMEMBERED = 700_000
@@ -241,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, seed: int = 42, id_c
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
     head = cut.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {head}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return sized(ranked, sum(histogram.values())).mapInArrow(place, f"doc_id {head}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_best_fit(spark, sf_dir: str) -> DataFrame:
