@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stable, table, utf8
+from .common import sized, stable, table, utf8
 from .graph import components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: s
     roots = components(links(nodes))
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(member.join(least, "root").select("fp", "root", "component_id"), "fp")
+    return sized(fps.join(member.join(least, "root").select("fp", "root", "component_id"), "fp"), fps.count())
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
