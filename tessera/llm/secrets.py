@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stable, table
+from .common import sized, stable, table
 
 # Kinds in reporting order, Java patterns, the class of credential part, whether the
 # kind is reported alone, and the least length of the part the length test looks at (a group's or the match's).
@@ -71,7 +71,7 @@ def scan_secrets(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text
     spans = parts.filter(F.col("strong") | linked).select("__uid", F.struct("start", "kind_no", pick([k[0] for k in KINDS]).alias("kind"), "end").alias("s"))
     spans = spans.groupBy("__uid").agg(F.sort_array(F.collect_list("s")).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>")
-    return cut.join(spans, "__uid", "left").select("doc_id", *[F.col(f"__keep_{c}").alias(c) for c in keep], F.coalesce("spans", none).alias("spans"))
+    return sized(cut.join(spans, "__uid", "left"), cut.count()).select("doc_id", *[F.col(f"__keep_{c}").alias(c) for c in keep], F.coalesce("spans", none).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
