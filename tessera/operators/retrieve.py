@@ -71,8 +71,9 @@ def lexical(questions: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
     runs = lambda t: F.array_distinct(F.filter(F.split(t, "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
     lines = pages.select("slug", F.posexplode(F.split(F.lower("body"), "\n")).alias("n", "text")).select("slug", "n", F.explode(runs(F.col("text"))).alias("run"))
     known = matched_runs(lines.select("run").distinct(), wanted.select("term").distinct())
-    hits = lines.join(known, "run").join(wanted, "term").select("qid", "slug", "n").distinct()
-    counted = hits.groupBy("qid", "slug").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    asking = known.join(wanted, "term").groupBy("run").agg(F.collect_set("qid").alias("qids"))
+    hits = lines.join(asking, "run").groupBy("slug", "n").agg(F.array_distinct(F.flatten(F.collect_list("qids"))).alias("qids"))
+    counted = hits.select("slug", F.explode("qids").alias("qid")).groupBy("qid", "slug").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return top(counted, k, F.desc("score"), F.split("slug", "/"), F.col("slug"))
 
 

@@ -56,14 +56,19 @@ def grep(pages: DataFrame, pattern: str, context: int = 0, ignore_case: bool = F
     """
     n = max(0, min(context, MAX_CONTEXT))
     test = lambda t: matcher(t, pattern, ignore_case, fixed)
-    rows = pages.filter(in_paths(F.col(key), paths)).filter(test(F.col("body"))) if fixed else pages.filter(in_paths(F.col(key), paths))
-    marked = rows.select(key, _marked(F.col("body"), test).alias("l"))
-    if n:
-        near = lambda x: F.exists(F.slice(F.col("l"), F.greatest(x["line_no"] - n, F.lit(1)), F.lit(2 * n + 1) - F.greatest(F.lit(0), n + 1 - x["line_no"])), lambda y: y["is_match"])
-        marked = marked.filter(F.exists("l", lambda y: y["is_match"])).select(key, F.filter("l", near).alias("l"))
-    else:
-        marked = marked.select(key, F.filter("l", lambda y: y["is_match"]).alias("l"))
-    return marked.select(key, F.explode("l").alias("x")).select(key, "x.line_no", "x.text", "x.is_match")
+    rows = pages.filter(in_paths(F.col(key), paths))
+    if fixed:
+        rows = rows.filter(test(F.col("body")))
+
+    def near(lines: Column) -> Column:
+        """Lines within n of a match. The list is bound once, so no line is tested again."""
+        first = lambda x: F.greatest(x["line_no"] - n, F.lit(1))
+        window = lambda x: F.slice(lines, first(x), x["line_no"] + n + 1 - first(x))
+        return F.filter(lines, lambda x: F.exists(window(x), lambda y: y["is_match"]))
+
+    marked = _marked(F.col("body"), test)
+    kept = F.get(F.transform(F.array(marked), near), 0) if n else F.filter(marked, lambda y: y["is_match"])
+    return rows.select(key, F.explode(kept).alias("x")).select(key, "x.line_no", "x.text", "x.is_match")
 
 
 def grep_capped(pages: DataFrame, pattern: str, max_hits: int, context: int = 0, key: str = "slug", **more) -> DataFrame:
