@@ -19,7 +19,7 @@ Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 #: UTF-8 bytes hashed at once, apart from longer single texts.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 class Words:

@@ -21,7 +21,7 @@ SAMPLE = 40_000
 PER_TEXT = 2_000
 #: Code points parsed in one lane; a longer text takes several lanes, and a phrase ends where its lane ends.
 LANE = 2_048
-LANES = 4_096
+LANES = 2_048
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -76,7 +76,7 @@ class Model:
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == points, at + 1, 0).astype(np.int32)
+        return np.where(self.alphabet[at] == points, at + 1, 0).astype(np.uint16 if self.symbols < 1 << 16 else np.int32)
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each lane (rows of symbols, padded) in the greedy parse by each language's text, (lanes, languages)."""
@@ -129,7 +129,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
         if not lanes:
             return
         lengths = np.array([len(x) for x in lanes])
-        grid = np.zeros((len(lanes), int(lengths.max())), np.int32)
+        grid = np.zeros((len(lanes), int(lengths.max())), lanes[0].dtype)
         for i, x in enumerate(lanes):
             grid[i, : len(x)] = x
         np.add.at(totals, np.array(owner), model.phrases(grid, lengths))
