@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from .common import bucket_count, distributed_rank, sized, stable, table
 
 #: Words whose ids a worker remembers; beyond it, new words are looked up again in each batch.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Code points of texts looked up together; a longer text is taken alone.
 TOGETHER = 4_000_000
 _ODD = regex.compile("[\x1c-\x1f]")
