@@ -350,7 +350,7 @@ def test_loader_keeps_failures(spark, tmp_path):
 
 
 def test_vault_import(spark):
-    files = [("a/alpha.md", "# First\n[[beta]] [[Nowhere]]"), ("b/alpha.md", "[[alpha#sec|s]]"), ("Bêta.md", "see [[b-alpha]]"), (".obsidian/x.md", "hidden"), ("root.md", "x")]
+    files = [("a/alpha.md", "# First\n[[beta]] [[Nowhere]]"), ("b/alpha.md", "[[alpha#sec|s]]"), ("Bêta.md", "see [[b-alpha]]"), (".hidden/x.md", "hidden"), ("root.md", "x")]
     got = {r["path"]: r for r in markdown.import_vault(spark.createDataFrame(files, "path string, content string")).collect()}
     assert {k: r["slug"] for k, r in got.items()} == {"a/alpha.md": "alpha", "b/alpha.md": "b-alpha", "Bêta.md": "beta", "root.md": "root"}
     assert got["a/alpha.md"]["title"] == "First" and got["a/alpha.md"]["body"] == "# First\n[[beta|beta]] [[Nowhere]]"
