@@ -182,11 +182,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 def fit(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     """Learn weights from pages that label themselves with an article or main element.
 
-    At most LABELLED pages are read: of each range of the md5 of the html the page with the least.
+    At most LABELLED pages are read: of each range of the md5 of the html the page with the least. The hashes
+    are reduced first, so at most LABELLED of them are broadcast and only their pages are shuffled, copies once a task.
     Pages without such an element, null and empty ones teach nothing; without any, the priors hold.
     """
     slim = pages.select(F.md5(F.col(html_col).cast("binary")).alias("h"), F.col(html_col).alias("html")).filter("length(html) > 0")
-    some = slim.groupBy(F.substring("h", 1, 3).alias("range")).agg(F.min_by("html", "h").alias("html")).select("html")
+    least = slim.groupBy(F.substring("h", 1, 3).alias("range")).agg(F.min("h").alias("h")).select("h")
+    some = slim.join(F.broadcast(least), "h").groupBy("h").agg(F.min("html").alias("html")).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside = Counter(), Counter()
