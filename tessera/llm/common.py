@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; set a folder only where none is named (tests)."""
+    """Use the shared folder the cluster names; where none is named, set one on a local master (tests) and refuse on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -40,9 +43,19 @@ def bucket_count(df: DataFrame, rows: int) -> int:
     return max(1, min(rows // 128, 8 * parts))
 
 
-def sized(df: DataFrame, rows: int, each: int = 5_000) -> DataFrame:
-    """df, whose last step follows a shuffle, in no more tasks and files than `each` narrow rows a file make."""
-    return df.coalesce(max(1, -(-rows // each)))
+#: Bytes that a file of a narrow result should have at least.
+FILE_BYTES = 1 << 20
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose last step follows a shuffle, in no more tasks and files than its bytes fill; the width of a row is the schema's."""
+    return df.coalesce(max(1, -(-rows * df._jdf.schema().defaultSize() // FILE_BYTES)))
+
+
+def kept(keep: tuple[str, ...], own: tuple[str, ...]) -> list[Column]:
+    """Columns to carry along; one that bears the name of a column of the operator's own is called NAME_kept."""
+    taken = {x.lower() for x in own}
+    return [F.col(f"`{c}`").alias(f"{c}_kept" if c.lower() in taken else c) for c in keep]
 
 
 #: Rows of bucket starts up to which they are broadcast (about 10 MB); beyond, the join is a shuffled one.

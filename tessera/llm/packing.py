@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -25,14 +26,38 @@ TOGETHER = 4_000_000
 _ODD = regex.compile("[\x1c-\x1f]")
 #: Marks that never join the letter or digit before them in a token.
 _MARKS = ".,!?;:%$&*#|"
+# The normaliser and splitter of a tokenizer for which a text's ids are its words' ids.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _by_words(config: dict) -> bool:
+    """Whether a tokenizer composes, drops white space, lower-cases, splits by _SPLIT and marks the end of words."""
+    split = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    model, added = config["model"], config.get("added_tokens") or []
+    return (
+        (config.get("normalizer") or {}).get("normalizers") == _NORMALIZER
+        and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+        and (split[0].get("pattern"), split[0].get("behavior"), split[0].get("invert")) == ({"Regex": _SPLIT}, "Removed", True)
+        and not (split[1].get("add_prefix_space") or split[1].get("use_regex"))
+        and (model["type"], model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and all(t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and not any(c.isspace() for c in t["content"]) for t in added)
+        and not (config.get("truncation") or config.get("padding"))
+    )
 
 
 class WordIds:
-    """Ids of whole texts. The tokenizer drops white space and merges inside words only, so a text's ids are its words' ids."""
+    """Ids of whole texts.
+
+    A tokenizer that drops white space and merges inside words only (_by_words) gives a text the ids of its
+    words, so words are looked up; with any other one, texts are encoded whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _by_words(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
         self.mark, self.between = plain[0] if plain else (None, None)
         vocabulary = self.tokenizer.get_vocab()
@@ -80,6 +105,8 @@ class WordIds:
         yield from self._some(own)
 
     def _some(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [self._encode(t).tobytes() + bytes(4) for t in texts]
         # Python splits at four control characters that are no white space to the tokenizer
         words = [None if _ODD.search(t) else t.split() for t in texts]
         known = self.known
@@ -95,7 +122,7 @@ class WordIds:
         """Ids of words that are not remembered: those of the lower-cased stem and of the marks at its end, if it has such parts."""
         known, fresh, later, need = self.known, {}, [], set()
         for w in new:
-            low, tail = _parts(w)
+            low, tail = self._parts(w)
             ids, end = known.get(low), known.get(tail) if tail else b""
             if ids is None or end is None:
                 later.append(w)
@@ -106,25 +133,22 @@ class WordIds:
         made = self._words(sorted(x for x in need if x and x not in known))
         made[""] = b""
         for w in later:
-            low, tail = _parts(w)
+            low, tail = self._parts(w)
             fresh[w] = (made[low] if low in made else known[low]) + (made[tail] if tail in made else known[tail])
         del made[""]
         # stems are remembered too while there is room
         return made | fresh if len(known) < REMEMBERED else fresh
 
-
-def _parts(word: str) -> tuple[str, str]:
-    """Stem in lower case, and the marks at the end; a word that does not part so is its own stem."""
-    if word.isalpha():
-        stem = word
-    else:
-        stem = word.rstrip(_MARKS)
-        if not stem or not stem[-1].isalnum():
+    def _parts(self, word: str) -> tuple[str, str]:
+        """Stem in lower case, and the marks at the end; a word that does not part so is its own stem."""
+        stem = word if word.isalpha() else word.rstrip(_MARKS)
+        # below U+0180 no character composes with the one before it; a lower case of another length (U+0130) holds a mark that may join what follows
+        if not stem or not stem[-1].isalnum() or not (stem.isascii() or max(stem) < "\u0180"):
             return word, ""
-    # below U+0180 lower case and composed form do not depend on each other
-    if stem.isascii() or max(stem) < "\u0180":
-        return stem.lower(), word[len(stem) :]
-    return word, ""
+        low = stem.lower()
+        if len(low) != len(stem) or "<" in low and any(t in low for t in self.special):
+            return word, ""
+        return low, word[len(stem) :]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -138,7 +162,11 @@ def _ids(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenized documents cut into pieces of `size` ids at most: doc_id, piece, start, length, ids_crc32."""
+    """Tokenized documents cut into pieces of `size` ids at most: doc_id, piece, start, length, ids_crc32.
+
+    A null or empty text is the one id 0; repeated rows each have their pieces; an empty table gives none.
+    Only the id and the text of docs are read, so other columns may have any name.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,6 +52,25 @@ def test_word_ids_equal_whole_text_ids():
         assert np.frombuffer(got, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 0], t
 
 
+def test_word_ids_equal_whole_text_ids_on_random_texts():
+    plain, ids, rnd = Tokenizer.from_file(PATH), packing.WordIds(PATH), random.Random(7)
+    marks = list("\u0300\u0301\u0307\u0308\u0323\u0345\u0327\u094d\u200d\ufe0f") + list("\x1c\x85\xa0\u3000 \t\n")
+    odd = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'RE", "\u1e9e", "\u212a", "\u017f", "\ufb01", "\uac01"]
+    alphabet = [chr(c) for c in range(32, 0x180)] + marks + odd + list("abcdeABCDE   ") * 8 + list("\u0130\u0307\u0130'.,!?'sS") * 6
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 25))) for _ in range(20_000)]
+    assert ids.by_words
+    for t, got in zip(texts, ids(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 0], t
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, ids = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = ["  Two  spaces and Caps.", "", "a\n\nb \u0130. <|endoftext|>"]
+    assert not ids.by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def slow_best_fit(lengths, size):
     rooms = []
     for n in sorted(lengths, reverse=True):
