@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """df as files in the shared checkpoint folder that the cluster names; a folder is set only where none is named (tests)."""
+    """df as files in the shared checkpoint folder that the cluster names; where none is named, one is set on a local master (tests) and a cluster is refused."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
     return df.checkpoint(eager=True)
