@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,20 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_fold, table
+from .common import id_fold, kept, table
 
-#: Code points of labelled text that a language's automaton is built from.
+#: Code points of whole labelled texts that a language's automaton is built from at most.
 SAMPLE = 40_000
-#: Code points of one labelled text that may enter the sample.
-PER_TEXT = 2_000
-#: Code points parsed in one lane; a longer text takes several lanes, and a phrase ends where its lane ends.
+#: Ranges of the texts' md5 that offer one text each.
+RANGES = 256
+#: Code points parsed in one lane, and places times languages times lanes held at once; neither changes a result.
 LANE = 2_048
-LANES = 2_048
+CELLS = 1 << 24
 _LETTER = regex.compile(r"\p{L}")
 
 
-def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Transitions (states, symbols) of the suffix automaton of a text; -1 where no substring goes on."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of a text."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -52,20 +51,72 @@ def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(nxt), symbols), -1, np.int32)
-    for s, own in enumerate(nxt):
-        for c, t in own.items():
-            out[s, c] = t
-    return out
+    return nxt
+
+
+def fold(src: np.ndarray, symbol: np.ndarray, dst: np.ndarray, states: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse rows of transitions, sorted by state, in one array that grows with the edges and not with states times symbols: (base of each state, slots).
+
+    A state is known by its base; its edge on symbol c lies in slot base + c, which holds base << 32 | next
+    base. Bases are unique, so a slot belongs to a state exactly if its upper half is the state's base. Wide
+    rows are fitted first, the widest before all; rows of one edge fill the slots between them.
+    """
+    size = len(src) + len(src) // 3 + 64
+    if size + symbols >= 2**31:
+        raise ValueError("the automata have more edges than 31 bits can number")
+    free, unused = np.ones(size + symbols, bool), np.ones(size, bool)
+    base = np.full(states, -1, np.int64)
+    counts = np.bincount(src, minlength=states)
+    first = np.r_[0, np.cumsum(counts)]
+    at = 0
+
+    def grown() -> None:
+        nonlocal free, unused, size
+        free, unused = np.r_[free, np.ones(size, bool)], np.r_[unused, np.ones(size, bool)]
+        size *= 2
+
+    wide = np.flatnonzero(counts != 1)
+    for n, i in enumerate(wide[np.argsort(-counts[wide], kind="stable")].tolist()):
+        own, tries = symbol[first[i] : first[i + 1]].astype(np.int64), 0
+        at = n * 40503 % size
+        while not (unused[at] and free[at + own].all()):
+            tries += 1
+            at = (at + tries) % size
+            if tries % 5000 == 0:
+                grown()
+        free[at + own] = unused[at] = False
+        base[i] = at
+    single = np.flatnonzero(counts == 1)
+    single = single[np.argsort(symbol[first[single]], kind="stable")]
+    groups = symbol[first[single]]
+    cuts = np.r_[np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, np.int64), len(groups)]
+    at = 0
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        need, c, seen = single[a:b], int(groups[a]), 0
+        while len(need):
+            if seen > size:
+                grown()
+                seen = 0
+            end = min(at + 4 * len(need) + 1024, size)
+            found = at + np.flatnonzero(unused[at:end] & free[at + c : end + c])[: len(need)]
+            base[need[: len(found)]] = found
+            unused[found] = free[found + c] = False
+            need, seen = need[len(found) :], seen + end - at
+            at = (int(found[-1]) + 1 if not len(need) else end) % size
+    table = np.full(size + symbols, -1, np.int64)
+    for a in range(0, len(src), 1 << 18):
+        own, after = base[src[a : a + (1 << 18)]], base[dst[a : a + (1 << 18)]]
+        table[own + symbol[a : a + (1 << 18)]] = own << 32 | after
+    return base, table
 
 
 @dataclass
 class Model:
-    """Automata of all languages in one table: `steps[state * symbols + symbol]` is twice the next state, plus 1 where a phrase ends."""
+    """Automata of all languages in one array of slots."""
 
     langs: list[str]
     alphabet: np.ndarray  # sorted code points; symbol 0 is any other one
-    steps: np.ndarray
+    table: np.ndarray
     roots: np.ndarray
     sizes: np.ndarray
 
@@ -78,22 +129,62 @@ class Model:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == points, at + 1, 0).astype(np.uint16 if self.symbols < 1 << 16 else np.int32)
 
-    def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each lane (rows of symbols, padded) in the greedy parse by each language's text, (lanes, languages)."""
+    def phrases(self, lanes: list[np.ndarray], follows: np.ndarray, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each lane in the greedy parse by each language's text, (lanes, languages), and the last lane's states.
+
+        A phrase is the longest substring of the language's text that begins where the last phrase ended,
+        or one symbol that the text lacks. All lanes are parsed at once as if a phrase began at their start. A
+        lane that follows another one in its text is then entered with the state the other left, and parsed again up
+        to the first place where both parses begin a phrase, from which on they agree. carry is the state before lane 0.
+        """
+        n, width = len(self.langs), len(lanes)
+        lengths = np.array([len(x) for x in lanes])
         order = np.argsort(-lengths, kind="stable")
-        by_place = np.ascontiguousarray(lanes[order].T)
-        alive = np.searchsorted(-lengths[order], -np.arange(1, int(lengths.max()) + 1), "right")
-        n = len(self.langs)
-        state = np.repeat(self.roots[:, None], len(lanes), 1)
-        count = np.zeros((n, len(lanes)), np.int32)
+        longest = int(lengths[order[0]])
+        by_place = np.zeros((longest, width), lanes[0].dtype)
+        for i, k in enumerate(order):
+            by_place[: lengths[k], i] = lanes[k]
+        alive = np.searchsorted(-lengths[order], -np.arange(1, longest + 1), "right")
+        starts = np.zeros((longest, n, width), bool)
+        state = np.repeat(self.roots[:, None], width, 1)
         for place, k in enumerate(alive):
-            step = self.steps[state[:, :k] * self.symbols + by_place[place, :k]]
-            count[:, :k] += step & 1
-            state[:, :k] = step >> 1
-        count += state != self.roots[:, None]
-        out = np.empty((len(lanes), n), np.int32)
-        out[order] = count.T
-        return out
+            own, now = by_place[place, :k], state[:, :k]
+            step = self.table[now + own]
+            ends = step >> 32 != now
+            starts[place, :, :k] = ends | (now == self.roots[:, None])
+            lang, lane = np.nonzero(ends)
+            root = self.roots[lang]
+            begin = self.table[root + own[lane]]
+            step &= 0xFFFFFFFF
+            step[lang, lane] = np.where(begin >> 32 == root, begin & 0xFFFFFFFF, root)
+            state[:, :k] = step
+        back = np.argsort(order, kind="stable")
+        counts, state = starts.sum(axis=0, dtype=np.int64).T[back], state.T[back]
+        for i in np.flatnonzero(follows):
+            before = carry if i == 0 else state[i - 1]
+            for lang in range(n):
+                own, again = lanes[i], starts[:, lang, back[i]]
+                counts[i, lang] += self._entered(int(before[lang]), lang, own, again, state, i)
+        return counts, state[-1]
+
+    def _entered(self, now: int, lang: int, own: np.ndarray, again: np.ndarray, state: np.ndarray, i: int) -> int:
+        """By how many phrases a lane entered in state `now` differs; its last state is put right if the parses never agree."""
+        root, differ = int(self.roots[lang]), 0
+        item = self.table.item
+        for place in range(len(own)):
+            c = int(own[place])
+            step = item(now + c)
+            if step >> 32 != now or now == root:
+                if again[place]:
+                    return differ
+                differ += 1
+                step = item(root + c)
+                now = step & 0xFFFFFFFF if step >> 32 == root else root
+            else:
+                differ -= int(again[place])
+                now = step & 0xFFFFFFFF
+        state[i, lang] = now
+        return differ
 
 
 def normalise(text: str) -> str:
@@ -105,74 +196,91 @@ def train(samples: dict[str, str]) -> Model:
     """samples: labelled text by language, normalised."""
     langs = sorted(samples)
     alphabet = np.array(sorted({ord(c) for s in samples.values() for c in s}) or [32], np.uint32)
-    model = Model(langs, alphabet, np.zeros(0, np.int32), np.zeros(len(langs), np.int32), np.array([max(2, len(samples[x])) for x in langs]))
-    tables, base = [], 0
-    for n, lang in enumerate(langs):
-        t = suffix_automaton(model.codes(samples[lang]).tolist(), model.symbols)
-        # a phrase ends before a symbol that does not go on; the symbol begins the next one, or is one itself if the text lacks it
-        root = t[0]
-        begin = np.where(root >= 0, root, 0)
-        step = np.where(t >= 0, (t + base) * 2, (begin[None, :] + base) * 2 + 1)
-        tables.append(step.astype(np.int32).ravel())
-        model.roots[n] = base
-        base += len(t)
-    model.steps = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+    model = Model(langs, alphabet, np.zeros(0, np.int64), np.zeros(len(langs), np.int64), np.array([max(2, len(samples[x])) for x in langs]))
+    parts: list[list[np.ndarray]] = [[], [], []]
+    states, first = 0, []
+    for lang in langs:
+        rows = suffix_automaton(model.codes(samples[lang]).tolist())
+        widths = np.fromiter(map(len, rows), np.int64, len(rows))
+        parts[0].append(np.repeat(np.arange(states, states + len(rows), dtype=np.int32), widths))
+        parts[1].append(np.fromiter((c for r in rows for c in r), np.int32, int(widths.sum())))
+        parts[2].append(states + np.fromiter((t for r in rows for t in r.values()), np.int32, int(widths.sum())))
+        first.append(states)
+        states += len(rows)
+    src, symbol, dst = [np.concatenate(parts.pop(0) or [np.zeros(0, np.int32)]) for _ in range(3)]
+    base, model.table = fold(src, symbol, dst, states, model.symbols)
+    model.roots[:] = base[first] if first else 0
     return model
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def predict(model: Model, texts: list[str | None], lane: int = LANE) -> tuple[list[str], list[float]]:
     """The language that needs the fewest phrases, each phrase weighing log2 of its training text's length, and its share of certainty."""
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-    owner, lanes = [], []
+    totals, chars = phrase_counts(model, texts, lane)
+    bits = totals * np.log2(model.sizes)
+    for i in np.flatnonzero(chars):
+        rate = bits[i] / chars[i]
+        odds = np.exp2(4 * (rate.min() - rate))
+        best = int(np.argmin(rate))
+        langs[i], scores[i] = model.langs[best], float(odds[best] / odds.sum())
+    return langs, scores
 
-    def flush(totals: np.ndarray) -> None:
-        if not lanes:
-            return
-        lengths = np.array([len(x) for x in lanes])
-        grid = np.zeros((len(lanes), int(lengths.max())), lanes[0].dtype)
-        for i, x in enumerate(lanes):
-            grid[i, : len(x)] = x
-        np.add.at(totals, np.array(owner), model.phrases(grid, lengths))
+
+def phrase_counts(model: Model, texts: list[str | None], lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of each text by each language, and the text's normalised code points (0 if it has no letter)."""
+    totals, chars = np.zeros((len(texts), len(model.langs)), np.int64), np.zeros(len(texts), np.int64)
+    owner: list[int] = []
+    lanes: list[np.ndarray] = []
+    carry, into = model.roots, -1
+    most = max(1, CELLS // (lane * max(1, len(model.langs))))
+
+    def flush() -> None:
+        nonlocal carry, into
+        own = np.array(owner)
+        got, carry = model.phrases(lanes, own == np.r_[into, own[:-1]], carry)
+        np.add.at(totals, own, got)
+        into = owner[-1]
         owner.clear()
         lanes.clear()
 
-    totals, chars = np.zeros((len(texts), len(model.langs)), np.int64), np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         if not text or not model.langs or not _LETTER.search(text):
             continue
         codes = model.codes(normalise(text))
         chars[i] = len(codes)
-        for a in range(0, len(codes), LANE):
+        for a in range(0, len(codes), lane):
             owner.append(i)
-            lanes.append(codes[a : a + LANE])
-            if len(lanes) >= LANES:
-                flush(totals)
-    flush(totals)
-    bits = totals * np.log2(model.sizes)
-    for i in np.flatnonzero(chars):
-        rate = bits[i] / chars[i]
-        odds = np.exp2(4 * (rate.min() - rate))
-        best = int(np.argmin(rate))
-        langs[i], scores[i] = model.langs[best], float(odds[best] / odds.sum())
-    return langs, scores
+            lanes.append(codes[a : a + lane])
+            if len(lanes) >= most:
+                flush()
+    if lanes:
+        flush()
+    return totals, chars
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, per_text: int = PER_TEXT) -> Model:
-    """Learn from labelled rows: for each language and each of 256 ranges of the texts' md5 the text with the least md5.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """Learn from labelled rows: for each language and each of RANGES ranges of the texts' md5 the text with the least md5.
 
-    The sample is bounded: 256 texts of at most per_text code points a language leave the executors, and
-    the first of them, `sample` code points together, are learned from. The aggregation keeps one text a
-    range on each side of the shuffle, so a language may hold any share of the rows. Rows without a
+    Texts are taken whole, in the order of their md5 read backwards, while they fit into `sample` code points
+    a language; one that does not fit is passed over. Only where a language has no text that short, the first `sample` code
+    points of one are learned. Hashes and lengths are reduced first, so at most RANGES small rows a language
+    and the chosen texts leave the executors, and a language may hold any share of the rows. Rows without a
     label or with an empty text teach nothing.
     """
-    slim = docs.select(F.col(lang_col).cast("string").alias("lang"), F.md5(F.col(text_col).cast("binary")).alias("h"), F.substring(text_col, 1, per_text).alias("text"))
+    slim = docs.select(F.col(lang_col).cast("string").alias("lang"), F.md5(F.col(text_col).cast("binary")).alias("h"), F.col(text_col).alias("text"))
     slim = slim.filter("lang is not null and length(text) > 0")
-    least = slim.groupBy("lang", F.substring("h", 1, 2).alias("range")).agg(F.min(F.struct("h", "text")).alias("s")).select("lang", "s.h", "s.text")
-    samples: dict[str, str] = {}
-    for r in sorted(least.collect(), key=lambda r: (r["lang"], r["h"][::-1])):
-        own = samples.get(r["lang"], "")
-        if len(own) < sample:
-            samples[r["lang"]] = f"{own} {normalise(r['text'])}"[:sample].strip()
+    offered = slim.groupBy("lang", F.substring("h", 1, 2).alias("range")).agg(F.min(F.struct((F.length("text") > sample).alias("long"), "h", F.length("text").alias("n"))).alias("s")).select("lang", "s.*")
+    chosen: dict[str, list[str]] = {}
+    room: dict[str, int] = {}
+    for r in sorted(offered.collect(), key=lambda r: (r["lang"], r["long"], r["h"][::-1])):
+        left = room.setdefault(r["lang"], sample)
+        if r["n"] <= left or left == sample:
+            chosen.setdefault(r["lang"], []).append(r["h"])
+            room[r["lang"]] = max(0, left - r["n"] - 1)
+    wanted = docs.sparkSession.createDataFrame([(lang, h) for lang, own in chosen.items() for h in own], "lang string, h string")
+    rows = slim.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample)).alias("text")).collect()
+    texts = {(r["lang"], r["h"]): normalise(r["text"]) for r in rows}
+    samples = {lang: " ".join(texts[lang, h] for h in own)[:sample].strip() for lang, own in chosen.items()}
     return train({k: v for k, v in samples.items() if v})
 
 
@@ -181,14 +289,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     A text is cut greedily into the longest phrases that occur in a language's labelled text, found by
     walking its suffix automaton; phrases times log2 of that text's length, a code point, estimate the
-    cross entropy. The language with the least wins; equal ones go to the first by name. Texts are parsed in lanes
-    of 2,048 code points, many lanes at once, so long texts need no more memory than short ones.
+    cross entropy. The language with the least wins; equal ones go to the first by name. Long texts are parsed in
+    lanes, side by side, whose parses are then put together to the one of the whole text, so they need no more memory than short ones.
 
-    Result: one row per row of docs: doc_id, the columns named in keep, lang_pred, score (0 to 1). Null
-    and empty texts and texts without a letter get `und` and 0, as does everything if nothing was
-    learned. Repeated rows each get their row; an empty table gives an empty result.
+    Result: one row per row of docs: doc_id, the columns named in keep (NAME_kept if they bear the name
+    of another column of the result), lang_pred, score (0 to 1). Null and empty texts and texts without a
+    letter get `und` and 0, as does everything if nothing was learned. Repeated rows each get their row; an empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), *kept(keep, ("doc_id", "lang_pred", "score", "__text")), F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
