@@ -18,6 +18,8 @@ from .common import id_fold, kept, table
 SAMPLE = 40_000
 #: Ranges of the texts' md5 that offer one text each.
 RANGES = 256
+#: Bits a code point above which a text is in none of the learned languages; letters drawn at random need about 11.
+FOREIGN_BITS = 9.0
 #: Code points parsed in one lane, and places times languages times lanes held at once; neither changes a result.
 LANE = 2_048
 CELLS = 1 << 24
@@ -213,17 +215,17 @@ def train(samples: dict[str, str]) -> Model:
     return model
 
 
-def predict(model: Model, texts: list[str | None], lane: int = LANE) -> tuple[list[str], list[float]]:
-    """The language that needs the fewest phrases, each phrase weighing log2 of its training text's length, and its share of certainty."""
-    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+def predict(model: Model, texts: list[str | None], lane: int = LANE) -> tuple[list[str], list[float], list[float | None]]:
+    """The language that needs the fewest phrases, each phrase weighing log2 of its training text's length, its share of certainty, and its bits a code point."""
+    langs, scores, rates = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
     totals, chars = phrase_counts(model, texts, lane)
     bits = totals * np.log2(model.sizes)
     for i in np.flatnonzero(chars):
         rate = bits[i] / chars[i]
         odds = np.exp2(4 * (rate.min() - rate))
         best = int(np.argmin(rate))
-        langs[i], scores[i] = model.langs[best], float(odds[best] / odds.sum())
-    return langs, scores
+        langs[i], scores[i], rates[i] = model.langs[best], float(odds[best] / odds.sum()), float(rate[best])
+    return langs, scores, rates
 
 
 def phrase_counts(model: Model, texts: list[str | None], lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
@@ -258,8 +260,8 @@ def phrase_counts(model: Model, texts: list[str | None], lane: int = LANE) -> tu
     return totals, chars
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows: for each language and each of RANGES ranges of the texts' md5 the text with the least md5.
+def labelled_texts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, str]:
+    """Normalised text by language from labelled rows: for each language and each of RANGES ranges of the texts' md5 the text with the least md5.
 
     Texts are taken whole, in the order of their md5 read backwards, while they fit into `sample` code points
     a language; one that does not fit is passed over. Only where a language has no text that short, the first `sample` code
@@ -281,7 +283,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     rows = slim.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample)).alias("text")).collect()
     texts = {(r["lang"], r["h"]): normalise(r["text"]) for r in rows}
     samples = {lang: " ".join(texts[lang, h] for h in own)[:sample].strip() for lang, own in chosen.items()}
-    return train({k: v for k, v in samples.items() if v})
+    return {k: v for k, v in samples.items() if v}
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """Learn from labelled_texts of docs."""
+    return train(labelled_texts(docs, text_col, lang_col, sample))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -293,20 +300,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     lanes, side by side, whose parses are then put together to the one of the whole text, so they need no more memory than short ones.
 
     Result: one row per row of docs: doc_id, the columns named in keep (NAME_kept if they bear the name
-    of another column of the result), lang_pred, score (0 to 1). Null and empty texts and texts without a
-    letter get `und` and 0, as does everything if nothing was learned. Repeated rows each get their row; an empty table gives an empty result.
+    of another column of the result), lang_pred, score (0 to 1), bits (a code point of the normalised text in that language).
+    Null and empty texts and texts without a letter get `und`, 0 and null, as does everything if nothing was learned. Repeated rows each get their row; an empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), *kept(keep, ("doc_id", "lang_pred", "score", "__text")), F.col(text_col).alias("__text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), *kept(keep, ("doc_id", "lang_pred", "score", "bits", "__text")), F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                langs, scores = predict(shared.value, part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names[:-1], "lang_pred", "score"])
+                langs, scores, rates = predict(shared.value, part.column(part.num_columns - 1).to_pylist())
+                new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], "lang_pred", "score", "bits"])
 
-    schema = T.StructType([*slim.drop("__text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*slim.drop("__text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
     return slim.mapInArrow(run, schema)
 
 

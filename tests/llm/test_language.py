@@ -37,11 +37,11 @@ def brute_predict(texts, samples):
     for text in texts:
         own = language.normalise(text or "")
         if not own:
-            out.append(("und", 0.0))
+            out.append(("und", 0.0, None))
             continue
         rate = {k: slow_phrases(own, s) * math.log2(max(2, len(s))) / len(own) for k, s in sorted(samples.items())}
         best = min(rate, key=rate.get)
-        out.append((best, 1 / sum(2 ** (4 * (rate[best] - r)) for r in rate.values())))
+        out.append((best, 1 / sum(2 ** (4 * (rate[best] - r)) for r in rate.values()), rate[best]))
     return out
 
 
@@ -69,8 +69,9 @@ def test_phrases_and_predictions_equal_brute_force(lane):
         assert chars[i] == len(own)
         assert totals[i].tolist() == [slow_phrases(own, samples[k]) if own else 0 for k in model.langs]
     got, want = language.predict(model, texts, lane), brute_predict(texts, samples)
-    assert got[0] == [x for x, _ in want]
-    assert np.allclose(got[1], [x for _, x in want])
+    assert got[0] == [x for x, _, _ in want]
+    assert np.allclose(got[1], [x for _, x, _ in want])
+    assert np.allclose([x or 0 for x in got[2]], [x or 0 for _, _, x in want])
 
 
 def test_lanes_in_several_groups_agree(monkeypatch):
@@ -118,6 +119,6 @@ def test_odd_and_empty(spark):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 4, 7)} == {"en"}
     assert language.identify(no_docs(spark), model).collect() == []
     same = language.identify(docs.withColumn("lang_pred", docs["word"]), model, keep=("score", "lang_pred", "n_chars"))
-    assert same.columns == ["doc_id", "score_kept", "lang_pred_kept", "n_chars", "lang_pred", "score"] and same.count() == 11
+    assert same.columns == ["doc_id", "score_kept", "lang_pred_kept", "n_chars", "lang_pred", "score", "bits"] and same.count() == 11
     nothing = language.fit(no_docs(spark))
     assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}

@@ -1,3 +1,4 @@
+import os
 import re
 import zlib
 
@@ -6,7 +7,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import odd_docs
+from tessera.llm.common import id_fold
+from tessera.llm.language import labelled_texts
 from test_decontaminate import brute
+from test_language import brute_predict
 from test_packing import placed
 from test_secrets import ASSIGN
 from test_simhash import groups, slow_print
@@ -32,9 +36,23 @@ def ids(rows):
     return sorted(r["doc_id"] for r in rows)
 
 
-def test_language_id_keeps_texts_with_letters(stages):
-    assert ids(stages[1]) == sorted(r["doc_id"] for r in stages[0] if re.search(r"[^\W\d_]", r["text"] or ""))
-    assert {r["doc_id"]: r for r in stages[1]} == {r["doc_id"]: r for r in stages[0] if r["doc_id"] in set(ids(stages[1]))}
+def test_language_id_predicts_and_rejects(spark, sf, stages):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    samples = labelled_texts(docs.filter(id_fold("doc_id", 4) != 2))
+    found = {r["doc_id"]: p for r, p in zip(stages[0], brute_predict([r["text"] for r in stages[0]], samples), strict=True)}
+    want = {i: lang for i, (lang, _, bits) in found.items() if bits is not None and bits <= 9}
+    assert {r["doc_id"]: r["lang"] for r in stages[1]} == want
+    old = {r["doc_id"]: r for r in stages[0]}
+    for r in stages[1]:
+        assert [r[c] for c in ("text", "source", "n_chars")] == [old[r["doc_id"]][c] for c in ("text", "source", "n_chars")]
+
+
+def test_language_id_drops_foreign_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*P.COLUMNS)
+    english = docs.filter("lang = 'en'").orderBy("doc_id").first()["text"]
+    more = [(-1, "\u0436\u0438\u0437\u043d\u044c \u0438 \u043c\u0438\u0440 " * 9, "en", "s", 1), (-2, "qzxv jkqw zzxq vkjx wqzk xjvq " * 9, "en", "s", 1), (-3, english, "zz", "s", 1), (-4, english, None, None, None), (-5, "123 !", "en", "s", 1)]
+    got = {r["doc_id"]: r["lang"] for r in P.language_id(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), sf).collect()}
+    assert {k: v for k, v in got.items() if k < 0} == {-3: "en", -4: "en"}
 
 
 def test_near_dedup_keeps_one_of_each_group(stages):
@@ -95,6 +113,8 @@ def test_packing_holds_the_last_texts(spark, sf, stages):
     whole = P.run(spark, sf).collect()
     key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, whole)) == sorted(map(key, stages[5]))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert not [f for f in os.listdir(folder) if f.startswith("pipeline-")]
 
 
 def test_odd_and_empty(spark, sf):
