@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ensure_checkpoint_dir, id_fold, table
 from tessera.llm.decontaminate import contamination
-from tessera.llm.language import fit, identify
+from tessera.llm.language import FOREIGN_BITS, fit, identify
 from tessera.llm.packing import pack
 from tessera.llm.secrets import redact, scan_secrets
 from tessera.llm.simhash import near_duplicates
@@ -30,12 +30,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents in which a language is found; those without any letter, null and empty ones go.
+    """Keep the documents written in one of the learned languages, with lang as predicted from the text.
 
-    The model learns from labelled rows of docs as the query op2 does.
+    The model learns from labelled rows of docs as the query op2 does. Rejected are texts whose parse costs
+    more than FOREIGN_BITS a code point in every learned language (other languages and scripts, random letters) and those without any
+    letter, null and empty ones. If no row has a label there is nothing to tell languages by, and all rows stay.
     """
     model = fit(docs.filter(id_fold("doc_id", 4) != 2))
-    return identify(docs, model, keep=tuple(COLUMNS[1:])).filter("lang_pred <> 'und'").select(*COLUMNS)
+    if not model.langs:
+        return docs.select(*COLUMNS)
+    found = identify(docs.select(*COLUMNS), model, keep=("text", "source", "n_chars")).filter((F.col("lang_pred") != "und") & (F.col("bits") <= FOREIGN_BITS))
+    return found.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,4 +91,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+    # the last stage has checkpointed its pieces, so nothing reads the tables between the stages any more
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return docs
