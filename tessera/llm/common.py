@@ -62,6 +62,11 @@ def kept(keep: tuple[str, ...], own: tuple[str, ...]) -> list[Column]:
 BROADCAST_ROWS = 200_000
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A checkpointed narrow table, broadcast if it is counted to have few rows; joins with a longer one are shuffled, and split where skewed."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def distributed_rank(df: DataFrame, by: list[str], bucket: str, order: list[Column], rank: str, total: str) -> DataFrame:
     """Zero-based rank of each row within its key, and the key's row count, without gathering a key.
 
@@ -74,8 +79,6 @@ def distributed_rank(df: DataFrame, by: list[str], bucket: str, order: list[Colu
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy(*by)).alias(total))
-    starts = stable(starts.coalesce(8))  # a few small files: the table has a row per key and bucket
-    if starts.count() <= BROADCAST_ROWS:
-        starts = F.broadcast(starts)
+    starts = small(stable(starts.coalesce(8)))  # a few small files: the table has a row per key and bucket
     inner = Window.partitionBy(*keys).orderBy(*order)
     return df.join(starts, keys).withColumn(rank, F.col("__start") + F.row_number().over(inner) - 1).drop("__start")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, utf8
+from .common import kept, small, stable, table, utf8
 
 GRAM = 5
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -20,6 +20,8 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 #: UTF-8 bytes hashed at once, apart from longer single texts.
 SLICE = 1 << 18
+#: Bits of the filter of the items' fingerprints at most (16 MB); more items make it pass more candidates, which the join then drops.
+FILTER_BITS = 1 << 27
 
 
 class Words:
@@ -75,47 +77,43 @@ class Words:
         return chosen, v[chosen]
 
 
-class Block:
-    """Fingerprints and windows of some benchmark items, by window length."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        groups: dict[int, list[tuple[str, bytes]]] = defaultdict(list)
-        for item, text in items:
-            n = int(Words(np.frombuffer(text, np.uint8), np.array([0, len(text)])).counts[0]) if text else 0
-            if n:
-                groups[min(n, window)].append((item, text))
-        self.by_length = {}
-        for length, own in sorted(groups.items()):
-            cuts = np.r_[0, np.cumsum([len(t) for _, t in own])]
-            w = Words(np.frombuffer(b"".join(t for _, t in own), np.uint8), cuts)
-            windows: dict[bytes, set[str]] = defaultdict(set)
-            for n, (item, _) in enumerate(own):
-                texts = w.words(w.first[n], w.first[n + 1])
-                for i in range(len(texts) - length + 1):
-                    windows[b" ".join(texts[i : i + length])].add(item)
-            self.by_length[length] = (np.unique(w.winnow(length)[1]), {k: tuple(v) for k, v in windows.items()})
-
-    def hits(self, w: Words) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
-        """By text: word intervals inside occurrences of windows, and items with occurring windows."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        items: dict[int, set[str]] = defaultdict(set)
-        for length, (known, windows) in self.by_length.items():
-            places, prints = w.winnow(length)
-            near = np.minimum(np.searchsorted(known, prints), len(known) - 1)
-            seen = -1
-            for p in places[known[near] == prints].tolist():
-                t = int(w.text[p])
-                low = max(w.first[t], p - (length - min(GRAM, length)), seen + 1)
-                high = min(w.first[t + 1] - length, p)
-                if low > high:
-                    continue
-                texts = w.words(low, high + length)
-                for i in range(high - low + 1):
-                    if own := windows.get(b" ".join(texts[i : i + length])):
-                        items[t].update(own)
-                        found[t].append((int(low - w.first[t] + i), int(low - w.first[t] + i + length)))
-                seen = high
-        return found, items
+class Filter:
+    """Bits of the fingerprints of all items: none of them fails the test, and few others pass it."""
+
+    def __init__(self, lengths: list[int], bits: int):
+        self.lengths, self.shift, self.words = lengths, np.uint64(64 - bits.bit_length() + 1), np.zeros(bits // 64, np.uint64)
+
+    def places(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and bits of the two marks of each fingerprint."""
+        mixed = prints ^ np.uint64(length) * P
+        at = np.stack([mixed * Q >> self.shift, (mixed ^ mixed >> np.uint64(32)) * P >> self.shift])
+        return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+    def test(self, prints: np.ndarray, length: int) -> np.ndarray:
+        word, bit = self.places(prints, length)
+        return (self.words[word] & bit != 0).all(axis=0)
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def candidates(w: Words, known: Filter) -> dict[int, list[tuple[int, int, bytes]]]:
+    """By text: (length, first word, digest) of the windows around fingerprints that pass the filter."""
+    found: dict[int, list[tuple[int, int, bytes]]] = {}
+    for length in known.lengths:
+        places, prints = w.winnow(length)
+        seen = -1
+        for p in places[known.test(prints, length)].tolist() if len(places) else ():
+            t = int(w.text[p])
+            low = max(int(w.first[t]), p - (length - min(GRAM, length)), seen + 1)
+            high = min(int(w.first[t + 1]) - length, p)
+            if low > high:
+                continue
+            texts = w.words(low, high + length)
+            found.setdefault(t, []).extend((length, low + i - int(w.first[t]), _digest(texts[i : i + length])) for i in range(high - low + 1))
+            seen = high
+    return found
 
 
 def _merged(intervals: list[tuple[int, int]]) -> list[int]:
@@ -140,62 +138,127 @@ def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield own
 
 
-def _scanned(df: DataFrame, block: Block) -> DataFrame:
-    """df(..., __text, n_words, hit, item_ids) with the block's intervals and items added, row by row."""
-    shared = df.sparkSession.sparkContext.broadcast(block)
+def _words_of(texts: list[bytes]) -> Words:
+    return Words(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
+
+
+def _item_prints(items: DataFrame, window: int) -> DataFrame:
+    """items(item, text) -> distinct (n, print) of the items' windows, which have n words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own in _slices(b.column(1).to_pylist()):
+                w = _words_of(own)
+                for n in range(1, window + 1):
+                    chosen, prints = w.winnow(n)
+                    size = w.counts[w.text[chosen]]
+                    prints = np.unique(prints[np.minimum(size, window) == n])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prints), n, np.int32)), pa.array(prints.view(np.int64))], names=["n", "print"])
+
+    return items.mapInArrow(run, "n int, print long").distinct()
+
+
+def _filter(prints: DataFrame, bits: int) -> Filter:
+    """The filter of counted fingerprints: 32 bits each, `bits` at most. Its words are put together on the executors."""
+    counts = {r["n"]: r["rows"] for r in prints.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    empty = Filter(sorted(counts), min(bits, max(1 << 12, 1 << (32 * sum(counts.values())).bit_length())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits, items, counts = b.column("hit").to_pylist(), b.column("item_ids").to_pylist(), []
-            texts = b.column("__text").to_pylist()
-            row = 0
-            for own in _slices(texts):
-                w = Words(np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(t) for t in own])])
+            lengths, own = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for n in np.unique(lengths):
+                word, bit = (x.ravel() for x in empty.places(own[lengths == n], int(n)))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bits"])
+
+    marks = prints.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    empty.words[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    return empty
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """items(item, text) -> (n, h, item): the digest of each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = _words_of([text])
+                n = min(len(w.start), window)
+                for a in range(0, len(w.start) - n + 1 if n else 0, 1 << 14):
+                    texts = w.words(a, a + (1 << 14) + n - 1)
+                    own = list(dict.fromkeys(_digest(texts[i : i + n]) for i in range(len(texts) - n + 1)))
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(own), pa.int32()), pa.array(own, pa.binary()), pa.array([name] * len(own), pa.string())], names=["n", "h", "item"])
+
+    return items.mapInArrow(run, "n int, h binary, item string")
+
+
+def _scanned(slim: DataFrame, known: Filter) -> DataFrame:
+    """slim(..., __text) -> its other columns, n_words, __key (the text's digest where there are candidates), __found (candidate windows)."""
+    shared = slim.sparkSession.sparkContext.broadcast(known)
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("pos", pa.int64()), ("h", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts, keys, lists = [], [], []
+            for own in _slices(b.column(b.num_columns - 1).to_pylist()):
+                w = _words_of(own)
+                found = candidates(w, shared.value)
                 counts += w.counts.tolist()
-                found, named = shared.value.hits(w)
-                for t, intervals in found.items():
-                    old = hits[row + t]
-                    hits[row + t] = _merged([*zip(old[::2], old[1::2], strict=True), *intervals])
-                    items[row + t] = sorted({*items[row + t], *named[t]})
-                row += len(own)
-            new = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *new], names=b.schema.names)
+                keys += [hashlib.blake2b(t, digest_size=16).digest() if n in found else None for n, t in enumerate(own)]
+                lists += [[{"n": n, "pos": p, "h": h} for n, p, h in found[t]] if t in found else None for t in range(len(own))]
+            new = [pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, kind)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "n_words", "__key", "__found"])
+
+    new = [T.StructField("n_words", T.LongType()), T.StructField("__key", T.BinaryType()), T.StructField("__found", T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("h", T.BinaryType())])))]
+    return slim.mapInArrow(run, T.StructType([*slim.drop("__text").schema.fields, *new]))
+
 
-    return df.mapInArrow(run, df.schema)
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, windows, sets) -> (key, hit, n_hit, sets)."""
+    for b in batches:
+        hits = [_merged([(p["pos"], p["end"]) for p in own]) for own in b.column(1).to_pylist()]
+        counts = [sum(h[1::2]) - sum(h[::2]) for h in hits]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.list_(pa.int64())), pa.array(counts, pa.int64()), b.column(2)], names=["__key", "hit", "n_hit", "sets"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), block_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), filter_bits: int = FILTER_BITS) -> DataFrame:
     """Words of each text that lie inside an occurrence of `window` consecutive words of a benchmark item.
 
-    Both sides are winnowed: of every window the least k-gram hash is kept (k = 5). Fingerprints of
-    documents are looked up among those of items, and each hit is extended to the windows around it, which
-    are compared as texts; every shared window of that length is found, and no other. An item of
-    fewer words, but not none, is one window of its own length. The items are split into blocks of about
-    block_bytes, which are broadcast one after the other, so a benchmark of any size is held against
-    all rows and a broadcast stays bounded.
-
-    Result: one row per row of docs: doc_id, the columns named in keep, n_words, n_hit, hit (word
-    intervals, flat: start, end, ...), item_ids (sorted as text), contaminated (n_hit > 0 and
-    20 * n_hit >= n_words). Null and empty texts have no words; null and wordless items match nothing;
-    items with a null id are left out, repeated items count once; an empty table on either side gives no hits. Columns that are not
-    named are not read.
+    Both sides are winnowed: of every window the least k-gram hash is kept (k = 5), so a shared window
+    shares a fingerprint. The fingerprints of the items become a filter of at most filter_bits bits, the only thing
+    broadcast at any size of the benchmark. One pass over the documents extends every fingerprint that passes it
+    to the windows around it, and these few are joined with the items' windows by length and digest: every shared
+    window is found, and no other. Equal texts are joined once. Windows of several items carry the set of
+    their items by its digest, so a passage that many items share does not multiply rows. An item of fewer
+    words than a window, but not none, is one window of its own length.
+
+    Result: one row per row of docs: doc_id, the columns named in keep (NAME_kept if they bear the name
+    of another column of the result), n_words, n_hit, hit (word intervals, flat: start, end, ...), item_ids
+    (sorted as text), contaminated (n_hit > 0 and 20 * n_hit >= n_words). Null and empty texts have no words;
+    null and wordless items match nothing; items with a null id are left out, repeated items count once; an
+    empty table on either side gives no hits. Rows are checkpointed with the columns in keep, so name narrow ones.
     """
-    slim = items.select(F.col(item_col).cast("string").alias("item"), utf8(item_text_col).alias("text")).filter("item is not null")
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
-    slim = slim.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    df = docs.select(F.col(id_col).alias("doc_id"), *keep, utf8(text_col).alias("__text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit"), F.array().cast("array<string>").alias("item_ids"))
-    for n in range(blocks):
-        part = slim.filter(F.col("block") == n).select("item", "text").collect()
-        df = _scanned(_nullable(df), Block([(r["item"], bytes(r["text"])) for r in part], window))
-    inside = F.aggregate(F.sequence(F.lit(0), F.size("hit")), F.lit(0).cast("long"), lambda acc, i: acc + F.coalesce(F.when(i % 2 == 0, -F.get("hit", i)).otherwise(F.get("hit", i)), F.lit(0)))
-    out = df.select("doc_id", *keep, "n_words", inside.alias("n_hit"), "hit", "item_ids")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def _nullable(df: DataFrame) -> DataFrame:
-    """df with nullable fields only, as Arrow batches come back."""
-    return df.to(T.StructType([T.StructField(f.name, T.ArrayType(f.dataType.elementType, True) if isinstance(f.dataType, T.ArrayType) else f.dataType, True) for f in df.schema]))
+    own = ("doc_id", "n_words", "n_hit", "hit", "item_ids", "contaminated", "__key", "__found", "__text")
+    slim_items = items.select(F.col(item_col).cast("string").alias("item"), utf8(item_text_col).alias("text")).filter("item is not null")
+    known = _filter(stable(_item_prints(slim_items, window)), filter_bits)
+    slim = docs.select(F.col(id_col).alias("doc_id"), *kept(keep, own), utf8(text_col).alias("__text"))
+    rows = stable(_scanned(slim, known))
+    texts = rows.filter("__key is not null").groupBy("__key").agg(F.first("__found").alias("__found"))
+    some = stable(texts.select("__key", F.explode("__found").alias("w")).select("__key", "w.*"))
+    asked = stable(some.select("n", "h").distinct())
+    matched = _item_windows(slim_items, window).join(small(asked), ["n", "h"], "left_semi").distinct()
+    sets = matched.groupBy("n", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    sets = stable(sets.withColumn("set", F.md5(F.to_json("items").cast("binary"))))
+    hits = some.join(small(sets.select("n", "h", "set")), ["n", "h"]).groupBy("__key").agg(F.collect_list(F.struct("pos", (F.col("pos") + F.col("n")).alias("end"))).alias("w"), F.collect_set("set").alias("sets"))
+    hits = stable(hits.mapInArrow(_covered, "__key binary, hit array<long>, n_hit long, sets array<string>"))
+    members = stable(sets.groupBy("set").agg(F.first("items").alias("items")).select("set", F.explode("items").alias("item")))
+    named = hits.select("__key", F.explode("sets").alias("set")).join(small(members), "set").groupBy("__key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+    found = stable(hits.select("__key", "n_hit", "hit").join(named, "__key"))
+    blank = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("hit"), F.array().cast("array<string>").alias("item_ids")]
+    front = [c for c in rows.columns if c not in ("__key", "__found")]
+    plain = rows.filter("__key is null").select(*front, *blank)
+    held = rows.filter("__key is not null").join(small(found), "__key", "left")
+    held = held.select(*front, F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hit", "array<long>"), ("item_ids", "array<string>"))])
+    return plain.unionByName(held).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def op6_winnowing(spark, sf_dir: str) -> DataFrame:
