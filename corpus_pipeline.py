@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ensure_checkpoint_dir, id_fold, table
+from tessera.llm.common import ensure_checkpoint_dir, id_fold, small, stable, table
 from tessera.llm.decontaminate import contamination
 from tessera.llm.language import FOREIGN_BITS, fit, identify
 from tessera.llm.packing import pack
@@ -57,7 +57,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents of which a twentieth or more lies inside benchmark windows."""
-    return contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS[1:])).filter(~F.col("contaminated")).select(*COLUMNS)
+    keyed = _keyed(docs)
+    found = contamination(keyed, table(spark, sf_dir, "benchmark"), keep=("row_key",))
+    dropped = stable(found.filter("contaminated").select("row_key").distinct())
+    return keyed.join(small(dropped), "row_key", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
