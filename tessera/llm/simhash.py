@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stable, table, utf8
+from .common import kept, sized, stable, table, utf8
 from .graph import components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -21,6 +21,8 @@ MAX_BITS = 4
 #: Rows of one key up to which linking compares inside a task; above it the exact linear way takes over.
 HOT = 20_000
 SMALL = 64
+#: Components with this part of the linked fingerprints or more are joined by broadcast, so at most as many rows are.
+SHARES = 200
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -45,9 +47,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
     """One row per row of docs: doc_id, the columns named in keep, fp (the fingerprint's bits as a signed long).
 
     Texts are lower-cased in ASCII, cut into words at ASCII white space and into word shingles, repeats
-    included; fewer words than a shingle make one shingle of all. Null and empty texts get zero.
+    included; fewer words than a shingle make one shingle of all. Null and empty texts get zero; repeated rows
+    each get their row; an empty table gives an empty result. A kept column that bears the name of another
+    column of the result is called NAME_kept; other columns are not read.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), *keep, utf8(text_col).alias("__text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), *kept(keep, ("doc_id", "fp", "root", "component_id", "first_id", "__text")), utf8(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,13 +229,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: s
     none). Copies share a fingerprint, which is linked once however many carry it. Null and empty texts
     have fingerprint zero and are linked like any other; repeated rows each get their row; an empty
     table gives an empty result. Columns of docs that are not named are not read.
+
+    At four bits the links are those of nearly identical texts: README states the share of similar pairs they catch.
     """
     fps = stable(fingerprints(docs, shingle, seed, id_col, text_col, keep))
     nodes = stable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(nodes))
-    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return sized(fps.join(member.join(least, "root").select("fp", "root", "component_id"), "fp"), fps.count())
+    groups = stable(roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()))
+    least = stable(groups.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    # no more than SHARES components hold a SHARES-th of the linked fingerprints each; these are not dealt by their root
+    share = groups.count() / SHARES
+    big = F.broadcast(least.filter(F.col("n") >= share).drop("n"))
+    rest = groups.join(big, "root", "left_anti").join(least.filter(F.col("n") < share).drop("n"), "root")
+    named = groups.join(big, "root").unionByName(rest)
+    member = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sized(fps.join(member, "fp"), fps.count())
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
+from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import xxhash
 from helpers import no_docs, odd_docs
 
@@ -123,6 +125,40 @@ def test_long_chains_of_edges(spark):
         assert {got.get(x, x) for x in own} == {min(own)}
 
 
+def test_large_components_are_split(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {(r["doc_id"], r["root"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    for shares in (1, 10**6):
+        monkeypatch.setattr(simhash, "SHARES", shares)
+        assert {(r["doc_id"], r["root"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()} == want
+
+
+def test_share_of_similar_pairs_that_four_bits_catch(spark):
+    """Copies are all caught; of pairs whose five-word shingles agree to 0.8 or more but whose texts differ only some are, as README states."""
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).slice(0, 3000).to_pylist()
+    grams = []
+    for r in rows:
+        w = r["text"].lower().split()
+        grams.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    holders = defaultdict(list)
+    for i, g in enumerate(grams):
+        for x in sorted(g)[:: max(1, len(g) // 40)]:
+            holders[x].append(i)
+    for i, g in enumerate(grams):
+        for x in g:
+            if x in holders and i not in holders[x]:
+                holders[x].append(i)
+    pairs = {(min(i, j), max(i, j)) for own in holders.values() if len(own) < 100 for i in own for j in own if i != j}
+    prints = [simhash.fingerprint(r["text"].encode()) for r in rows]
+    found = {True: [], False: []}
+    for i, j in pairs:
+        if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+            found[rows[i]["text"] == rows[j]["text"]].append((prints[i] ^ prints[j]).bit_count() <= 4)
+    share = sum(found[False]) / len(found[False])
+    print("differing pairs", len(found[False]), "caught", share)
+    assert all(found[True]) and len(found[False]) >= 10 and share <= 0.5
+
+
 def test_odd_and_empty(spark):
     got = simhash.near_duplicates(odd_docs(spark)).collect()
     assert len(got) == 11
