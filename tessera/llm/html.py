@@ -7,13 +7,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import kept, stable, table
 
 # Element names by their part in a page.
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -25,16 +26,27 @@ BLOCK = {
 }
 BOILERPLATE = {"script", "style", "noscript", "template", "head", "title", "nav", "menu", "footer", "aside", "form", "button", "select", "textarea", "input", "label", "fieldset", "iframe", "dialog", "search", "svg", "canvas", "object", "noembed", "noframes"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-# Words of class and id attributes that mark parts which are no article.
+INLINE = {
+    "a", "abbr", "acronym", "audio", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "map", "mark", "math", "meter", "nobr", "output", "picture", "progress", "q", "rp", "rt",
+    "ruby", "s", "samp", "slot", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "video", "button", "label", "svg", "canvas", "object",
+}
+# Prior weights of words of class and id attributes. MARKS speak for a part that is no article,
+# PLAIN say nothing; any other word speaks for text until the pages tell otherwise.
 MARKS = {
     "ad", "ads", "advert", "advertisement", "adverts", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "discussion", "disqus",
     "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promoted", "recommended",
     "related", "reply", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+PLAIN = {
+    "area", "article", "articles", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "element", "form", "global", "group", "icon", "icons", "inner", "item", "items", "label", "left",
+    "link", "links", "list", "main", "module", "outer", "page", "panel", "post", "posts", "primary", "reader", "readers", "right", "row", "secondary", "section", "site", "slot", "top", "unit", "user", "users", "wrap", "wrapper",
+}
 ARTICLE = {"article", "main"}
 #: Pages that weights are learned from: one for each range of 12 bits of the md5 of the html.
 LABELLED = 4096
 WORD_PRIOR, TAG_PRIOR, BOILERPLATE_PRIOR = 1.0, -0.5, -1.0
+#: A word of class attributes is learned from if this part of the labelled pages has it; so many words at most are 100 times those of a mean page.
+CLASS_SHARE = 0.01
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*\Z""", re.S)
 _CLOSE = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
@@ -42,49 +54,75 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _marked(name: str, attributes: str) -> str:
-    """Why an element is no article content, by its name and attributes alone; empty if it may be."""
+def class_prior(word: str) -> float:
+    return -1.0 if word in MARKS else 0.0 if word in PLAIN else 1.0
+
+
+def _classes(name: str, attributes: str) -> tuple[str, tuple[str, ...]]:
+    """Why an element is no article content by its name or role (empty if it may be), and the words of its class and id."""
     if name in BOILERPLATE:
-        return name
+        return name, ()
     if name in ("html", "body", "main") or "=" not in attributes:
-        return ""
+        return "", ()
+    words: list[str] = []
     for key, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if key.lower() == "role":
             if value.lower() in ROLES:
-                return f"role={value.lower()}"
-            continue
-        for part in _PARTS.findall(value):
-            if (part := part.lower()) in MARKS and (name != "article" or part in ("comment", "comments", "reply", "ad", "ads")):
-                return f".{part}"
-    return ""
+                return f"role={value.lower()}", ()
+        else:
+            words += [w.lower() for w in _PARTS.findall(value)]
+    return "", tuple(dict.fromkeys(words))
+
 
+def _speaks_against(name: str, words: tuple[str, ...], classes: dict[str, float]) -> bool:
+    """Whether the words of an element's class and id, taken together, mark it as no article; an article is only marked by being a comment or an advert."""
+    if name == "article":
+        words = tuple(w for w in words if w in ("comment", "comments", "reply", "ad", "ads") or class_prior(w) > 0)
+    return sum(classes.get(w, class_prior(w)) for w in words) < 0
 
-Piece = tuple[str, str, str, bool]
 
+Piece = tuple[str, str, str, bool, tuple[str, ...]]
 
-def tokens(page: str) -> Iterator[Piece]:
-    """(feature, text, block mark, inside an article) of tags and texts in page order.
+
+class _Open:
+    """An open element with what its content inherits, so that no tag looks further up than its parent."""
+
+    __slots__ = ("article", "classes", "header", "name", "reason")
+
+    def __init__(self, name: str, attributes: str, parent: _Open | None, weights: dict[str, float]):
+        self.name = name
+        own, words = _classes(name, attributes)
+        if not own and words and _speaks_against(name, words, weights):
+            own = "class"
+        starts = name in ARTICLE and not own
+        self.article = starts or parent is not None and parent.article and not own
+        self.reason = "" if starts else own or (parent.reason if parent else "")
+        self.header = not starts and (name == "header" or parent is not None and parent.header)
+        if self.header and not self.article and not self.reason:
+            self.reason = "header"
+        self.classes = words or (parent.classes if parent and not starts else ())
+
+
+def tokens(page: str, classes: dict[str, float] = {}) -> Iterator[Piece]:  # noqa: B006
+    """(feature, text, block mark, inside an article, words of the nearest class) of tags and texts in page order, in linear time.
 
     A text's feature names the boilerplate it stands in or else its nearest element; the block mark is
-    "|" at tags that end a block. An article or main element starts anew, whatever was left open before it.
+    "|" at tags that end a block. Elements that HTML does not know share one name. Whether the words of a class speak
+    for boilerplate is told by their weights. An article or main element starts anew, whatever was left open before it.
     """
-    stack: list[tuple[str, str]] = []
-    reason, article = "", 0
-
-    def context() -> tuple[str, int]:
-        why, n = "", 0
-        for name, own in reversed(stack):
-            why = why or own
-            if name in ARTICLE and not own:
-                n = 1
-                break
-        if not n and not why and any(name == "header" for name, _ in stack):
-            why = "header"
-        return why, n
+    stack: list[_Open] = []
+    names: Counter[str] = Counter()
 
     def text(raw: str) -> Piece:
-        return (f"!{reason}" if reason else f"w:{stack[-1][0] if stack else ''}"), html.unescape(raw) if "&" in raw else raw, "", bool(article)
+        top = stack[-1] if stack else None
+        feature = f"!{top.reason}" if top and top.reason else f"w:{_known(top.name) if top else ''}"
+        return feature, html.unescape(raw) if "&" in raw else raw, "", bool(top and top.article and not top.reason), top.classes if top else ()
+
+    def pop() -> str:
+        name = stack.pop().name
+        names[name] -= 1
+        return name
 
     at, end = 0, len(page)
     while at < end:
@@ -100,27 +138,32 @@ def tokens(page: str) -> Iterator[Piece]:
             continue
         closing, attributes = bool(m[1] or m[4]), (m[3] or m[6] or "")
         if closing:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
+            if names[name]:
+                while pop() != name:
                     pass
-                reason, article = context()
         elif name in RAW:
             found = _CLOSE[name].search(page, at)
             at = found.start() if found else end
         elif name not in VOID:
-            if name in BLOCK and stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in ("li", "option", "dt", "dd", "tr", "td", "th", "p") and any(n == name for n, _ in stack[-3:]):
-                for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+            if name in BLOCK and stack and stack[-1].name == "p":
+                pop()
+            if name in ("li", "option", "dt", "dd", "tr", "td", "th", "p"):
+                for depth in range(1, min(3, len(stack)) + 1):
+                    if stack[-depth].name == name:
+                        for _ in range(depth):
+                            pop()
                         break
-                    if stack[i][0] in BLOCK:
+                    if stack[-depth].name in BLOCK:
                         break
             if not attributes.endswith("/"):
-                stack.append((name, _marked(name, attributes)))
-                reason, article = context()
-        yield f"</{name}>" if closing else f"<{name}>", " " if name == "br" else "", "|" if name in BLOCK else "", bool(article)
+                stack.append(_Open(name, attributes, stack[-1] if stack else None, classes))
+                names[name] += 1
+        tag = _known(name)
+        yield f"</{tag}>" if closing else f"<{tag}>", " " if name == "br" else "", "|" if name in BLOCK else "", bool(stack and stack[-1].article), ()
+
+
+def _known(name: str) -> str:
+    return name if name in BLOCK or name in INLINE or name in VOID or name in RAW or name in BOILERPLATE or name in ARTICLE else "?"
 
 
 def _is_tag(feature: str) -> bool:
@@ -131,6 +174,25 @@ def prior(feature: str) -> float:
     return TAG_PRIOR if _is_tag(feature) else BOILERPLATE_PRIOR if feature.startswith("!") else WORD_PRIOR
 
 
+@dataclass
+class Weights:
+    """Weights of tags and texts by feature, and of words of class and id attributes."""
+
+    features: dict[str, float] = field(default_factory=dict)
+    classes: dict[str, float] = field(default_factory=dict)
+
+
+def weigh_classes(inside: dict[str, float], outside: dict[str, float]) -> dict[str, float]:
+    """Weights of class words from the words of text below them inside and outside articles: log odds drawn to the prior by ten pseudo-counts, between -1 and 1."""
+    total_in, total_out = sum(inside.values()) + 1, sum(outside.values()) + 1
+    out = {}
+    for w in inside.keys() | outside.keys():
+        a, b = inside.get(w, 0), outside.get(w, 0)
+        odds = math.log((a + 0.5) / total_in) - math.log((b + 0.5) / total_out)
+        out[w] = max(-1.0, min(1.0, (odds * (a + b) + class_prior(w) * 10) / (a + b + 10)))
+    return out
+
+
 def weigh(inside: dict[str, float], outside: dict[str, float]) -> dict[str, float]:
     """Weights from counts of each feature inside and outside the articles of labelled pages.
 
@@ -160,16 +222,16 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
+def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best region, one a line."""
     if not page:
         return ""
-    pieces = list(tokens(page))
-    words = [0 if _is_tag(f) else len(t.split()) for f, t, _, _ in pieces]
-    scores = [(weights.get(f, prior(f)) * (1 if _is_tag(f) else n)) for (f, _, _, _), n in zip(pieces, words, strict=True)]
+    pieces = list(tokens(page, weights.classes))
+    words = [0 if _is_tag(p[0]) else len(p[1].split()) for p in pieces]
+    scores = [(weights.features.get(p[0], prior(p[0])) * (1 if _is_tag(p[0]) else n)) for p, n in zip(pieces, words, strict=True)]
     start, end = best_region(scores)
     blocks, own = [], []
-    for feature, text, mark, _ in pieces[start:end]:
+    for feature, text, mark, *_ in pieces[start:end]:
         if mark:
             blocks.append("".join(own))
             own = []
@@ -179,47 +241,66 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
-def fit(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
+def count_features(pages: list[str]) -> tuple[int, dict[str, list[int]]]:
+    """Labelled pages, and [inside, outside, pages] of each feature and class word (written .word): tags once each, texts by their words.
+
+    Text in parts that their name, role or class marks as no article counts as outside wherever it stands.
+    """
+    labelled, counts = 0, {}
+    for page in pages:
+        pieces = list(tokens(page))
+        if not any(p[3] for p in pieces):
+            continue
+        labelled += 1
+        seen: set[str] = set()
+        for feature, text, _, article, classes in pieces:
+            n = 1 if _is_tag(feature) else len(text.split())
+            for f in (feature, *(f".{c}" for c in classes)):
+                own = counts.setdefault(f, [0, 0, 0])
+                own[0 if article else 1] += n
+                own[2] += f not in seen
+                seen.add(f)
+    return labelled, counts
+
+
+def fit(pages: DataFrame, html_col: str = "html") -> Weights:
     """Learn weights from pages that label themselves with an article or main element.
 
     At most LABELLED pages are read: of each range of the md5 of the html the page with the least. The hashes
     are reduced first, so at most LABELLED of them are broadcast and only their pages are shuffled, copies once a task.
-    Pages without such an element, null and empty ones teach nothing; without any, the priors hold.
+    Names of elements that HTML does not know are one feature, and words of classes need CLASS_SHARE of the pages, so what reaches the
+    driver is bounded. Pages without such an element, null and empty ones teach nothing; without any, the priors hold.
     """
     slim = pages.select(F.md5(F.col(html_col).cast("binary")).alias("h"), F.col(html_col).alias("html")).filter("length(html) > 0")
     least = slim.groupBy(F.substring("h", 1, 3).alias("range")).agg(F.min("h").alias("h")).select("h")
     some = slim.join(F.broadcast(least), "h").groupBy("h").agg(F.min("html").alias("html")).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, outside = Counter(), Counter()
         for b in batches:
-            for page in b.column(0).to_pylist():
-                pieces = list(tokens(page))
-                if not any(p[3] for p in pieces):
-                    continue
-                for feature, text, _, article in pieces:
-                    (inside if article and feature[0] != "!" else outside)[feature] += 1 if _is_tag(feature) else len(text.split())
-        names = sorted(inside.keys() | outside.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()), pa.array([outside[n] for n in names], pa.int64())], names=["feature", "inside", "outside"])
-
-    counts = some.mapInArrow(run, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
-    # names of elements are free text; the most frequent ones are all that matters to a weight
-    got = counts.orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(LABELLED).collect()
-    return weigh({r["feature"]: r["a"] for r in got}, {r["feature"]: r["b"] for r in got})
-
-
-def extract(pages: DataFrame, weights: dict[str, float], id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+            labelled, counts = count_features(b.column(0).to_pylist())
+            rows = [("", labelled, 0, 0), *((f, *own) for f, own in counts.items())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]], names=["feature", "a", "b", "pages"])
+
+    counts = stable(some.mapInArrow(run, "feature string, a long, b long, pages long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pages")]))
+    labelled = sum(r["a"] for r in counts.filter("feature = ''").collect())
+    got = counts.filter((F.col("feature") != "") & (~F.col("feature").startswith(".") | (F.col("pages") >= CLASS_SHARE * labelled))).collect()
+    words = [{r["feature"][1:]: r[k] for r in got if r["feature"][0] == "."} for k in ("a", "b")]
+    return Weights(weigh(*[{r["feature"]: r[k] for r in got if r["feature"][0] != "."} for k in ("a", "b")]), weigh_classes(*words))
+
+
+def extract(pages: DataFrame, weights: Weights, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Main text of whole pages by the maximum-scoring subsequence of words (positive) and tags (negative).
 
     One linear scan finds the contiguous region whose weights sum to most. Parts inside it that are no
-    article (navigation, page headers, footers, asides, forms, scripts, styles, and elements whose class, id or role says
-    menu, notice, advert, comment and the like) score negative and are left out of the text. Character
+    article (navigation, page headers, footers, asides, forms, scripts, styles, and elements whose role or words of class and
+    id, weighed together, say menu, notice, advert, comment and the like) score negative and are left out of the text. Character
     references are decoded, white space in a block (br included) becomes one space, and blocks are joined by a line end.
 
-    Result: one row per row of pages: page_id, the columns named in keep, text, n_chars. Null and empty
-    pages have empty text; repeated rows each get their row; an empty table gives an empty result.
+    Result: one row per row of pages: page_id, the columns named in keep (NAME_kept if they bear the name of
+    another column of the result), text, n_chars. Null and empty pages have empty text; repeated rows each get
+    their row; an empty table gives an empty result.
     """
-    slim = pages.select(F.col(id_col).alias("page_id"), *keep, F.col(html_col).alias("__html"))
+    slim = pages.select(F.col(id_col).alias("page_id"), *kept(keep, ("page_id", "text", "n_chars", "__html")), F.col(html_col).alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
