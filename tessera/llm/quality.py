@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_fold, table
+from .common import id_fold, kept, table
 
 #: Labelled rows learned from at most, and pairs drawn from them.
 LABELLED = 6_000
@@ -103,27 +103,29 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Learn from the `labelled` rows of labels with the least md5 of their id; the others are not looked at.
 
     That bound holds for the rows joined, for what a broadcast of their ids holds and for the features
-    that reach the driver. Null ids and labels other than 0 and 1 teach nothing; of an id with several labels each counts.
+    that reach the driver. Null ids and labels other than 0 and 1 teach nothing; of an id with several labels each
+    counts. Only repeated ids can join to more than `labelled` rows; then as many are drawn by the md5 of id, label and text, whatever their label.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).filter("__id is not null and __y in (0, 1)")
     some = known.orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__y").limit(labelled)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(some), "__id").select("__y", "__text")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(some), "__id")
+    drawn = F.md5(F.concat_ws(":", F.col("__id").cast("string"), F.col("__y").cast("string"), F.coalesce("__text", F.lit(""))).cast("binary"))
+    rows = rows.select("__y", "__text", drawn.alias("__h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64())), b.column(2)], names=["y", "x", "h"])
 
-    # rows beyond the bound can only be repeated ids
-    got = rows.mapInArrow(run, "y int, x array<double>").orderBy("y", "x").limit(2 * labelled).collect()
+    got = rows.mapInArrow(run, "y int, x array<double>, h string").orderBy("h").limit(labelled).collect()
     return bradley_terry(np.array([r["x"] for r in got]).reshape(len(got), len(features(""))), np.array([r["y"] for r in got]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Score whole texts: one row per row of docs with doc_id, the columns named in keep and score (0 to 1).
+    """Score whole texts: one row per row of docs with doc_id, the columns named in keep (NAME_kept if they bear the name of another column of the result) and score (0 to 1).
 
     Null and empty texts share one score; repeated texts score alike; an empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), *kept(keep, ("doc_id", "score", "__text")), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
