@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,62 +36,101 @@ def template(turns: Turns) -> str:
     return "<s>" + "".join(f"[TURN]{escape(role, True)}\n{escape(text)}</s>\n" for role, text in turns)
 
 
-def locate(turns: Turns, render: Callable[[Turns], str]) -> tuple[str, list[tuple[int, int, int, int]], list[int]]:
-    """Rendering of all turns, (start, text start, text end, end) of each turn in it, and the turns that rewrite history.
+@dataclass
+class Located:
+    """A rendered conversation.
 
-    Successive prefixes are rendered. Where an output continues the last one, what it adds is the turn's
-    span; a second rendering with the turn's text replaced by a probe tells which part of the span is
-    text. Where it does not continue it, the template changed what it had written: the turn is listed
-    and all turns up to it get the span (-1, -1, -1, -1), as their places are no longer known.
+    spans: (start, text start, text end, end) of each turn, -1 where its place is not known. rewrites:
+    turns that changed what was written before them. altered: turns whose text the template changed (trimmed, say), so
+    that what lies at their place is not what was said. error: why a rendering failed, else None.
     """
-    before = render([])
+
+    text: str | None
+    spans: list[tuple[int, int, int, int]]
+    rewrites: list[int]
+    altered: list[int]
+    error: str | None = None
+
+
+def locate(turns: Turns, render: Callable[[Turns], str], written: Callable[[str], str] = str) -> Located:
+    """Render successive prefixes and find each turn's place in the last output; a failing template is reported, not raised.
+
+    Where an output continues the last one, what it adds is the turn's span; a second rendering with the
+    turn's text replaced by a probe tells which part of the span is text, which is then compared with
+    written(text), the form the template means to give it. Where it does not continue it, the template changed what it had
+    written: the turn is listed and all turns up to it lose their spans, as their places are no longer known.
+    A template may refuse to render no turns at all: the first turn's span then begins at 0. One that
+    refuses a prefix (roles in a wrong order, say) has no spans; text is its rendering of all turns if it gives one.
+    """
+    try:
+        before = render([])
+    except Exception as e:
+        if not turns:
+            return Located(None, [], [], [], f"no turns: {type(e).__name__}: {e}")
+        before = ""
     spans: list[tuple[int, int, int, int]] = []
-    rewrites = []
-    for i, (role, _) in enumerate(turns):
-        now = render(turns[: i + 1])
-        probed = render([*turns[:i], (role, PROBE)])
+    rewrites, altered = [], []
+    for i, (role, said) in enumerate(turns):
+        try:
+            now, probed = render(turns[: i + 1]), render([*turns[:i], (role, PROBE)])
+        except Exception as e:
+            try:
+                whole = render(turns)
+            except Exception:
+                whole = None
+            return Located(whole, [(-1, -1, -1, -1)] * len(turns), [], [], f"turn {i}: {type(e).__name__}: {e}")
         at = probed.find(PROBE, len(before))
         tail = len(probed) - at - len(PROBE)
-        if now.startswith(before) and probed.startswith(before) and at >= 0 and now[:at] == probed[:at] and now[len(now) - tail :] == probed[len(probed) - tail :]:
+        if now.startswith(before) and probed.startswith(before) and at >= 0 and len(now) >= at + tail and now[:at] == probed[:at] and now[len(now) - tail :] == probed[len(probed) - tail :]:
             spans.append((len(before), at, len(now) - tail, len(now)))
+            if now[at : len(now) - tail] != written(said):
+                altered.append(i)
         else:
             rewrites.append(i)
             spans = [(-1, -1, -1, -1)] * (i + 1)
         before = now
-    return before, spans, rewrites
+    return Located(before, spans, rewrites, altered)
 
 
-def format_conversations(rows: DataFrame, render: Callable[[Turns], str] = template, trained: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, turns (role and the places of start, text and end), loss (places of trained texts), rewrites.
+def format_conversations(rows: DataFrame, render: Callable[[Turns], str] = template, trained: tuple[str, ...] = ("assistant",), written: Callable[[str], str] = escape, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """One row per conversation: conv_id, n_turns, formatted, turns (role and the places of start, text and end), loss (places of trained texts), rewrites, altered, error.
 
-    Places count code points. Turns come in the order of turn (nulls first), then role and text; repeated
-    rows are repeated turns. A null role or text is empty, a null conv_id is a conversation of its own;
-    an empty table gives an empty result. A conversation is rendered in one task, prefix by prefix, which costs its
-    length times its number of turns; memory holds two renderings.
+    `written` is the form that render gives a text: for the default template its escapes, for one that
+    writes texts as they are, str. Places count code points. Turns come in the order of turn (nulls first), then role and text;
+    repeated rows are repeated turns. A null role or text is empty. A row with a null conv_id belongs to no
+    other row: it is a conversation of its own, of one turn, however many there are. An empty table gives an
+    empty result; columns of other names are not read. A template that fails on a conversation sets its error and leaves the others alone. A
+    conversation is rendered in one task, prefix by prefix, which costs its length times its number of turns; memory holds two renderings.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    grouped = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("__t"))
+    named = rows.filter(F.col(conv_col).isNotNull()).groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("__t"))
+    grouped = named.unionByName(rows.filter(F.col(conv_col).isNull()).select(F.col(conv_col).alias("conv_id"), F.array(turn).alias("__t")))
     grouped = grouped.select("conv_id", F.transform("__t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("__t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = pa.struct([("role", pa.string()), ("start", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("end", pa.int64())])
+        types = {
+            "n_turns": pa.int64(), "formatted": pa.string(), "turns": pa.list_(place), "loss": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
+            "rewrites": pa.list_(pa.int64()), "altered": pa.list_(pa.int64()), "error": pa.string(),
+        }
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                out = {"n_turns": [], "formatted": [], "turns": [], "loss": [], "rewrites": []}
+                out = {k: [] for k in types}
                 for own in part.column(1).to_pylist():
                     turns = [(t["role"], t["text"]) for t in own]
-                    text, spans, rewrites = locate(turns, render)
+                    got = locate(turns, render, written)
                     out["n_turns"].append(len(turns))
-                    out["formatted"].append(text)
-                    out["turns"].append([{"role": r, "start": s[0], "text_start": s[1], "text_end": s[2], "end": s[3]} for (r, _), s in zip(turns, spans, strict=True)])
-                    out["loss"].append([{"start": s[1], "end": s[2]} for (r, _), s in zip(turns, spans, strict=True) if r in trained and s[0] >= 0])
-                    out["rewrites"].append(rewrites)
-                place = pa.struct([("role", pa.string()), ("start", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("end", pa.int64())])
-                types = {"n_turns": pa.int64(), "formatted": pa.string(), "turns": pa.list_(place), "loss": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "rewrites": pa.list_(pa.int64())}
+                    out["formatted"].append(got.text)
+                    out["turns"].append([{"role": r, "start": s[0], "text_start": s[1], "text_end": s[2], "end": s[3]} for (r, _), s in zip(turns, got.spans, strict=True)])
+                    out["loss"].append([{"start": s[1], "end": s[2]} for (r, _), s in zip(turns, got.spans, strict=True) if r in trained and s[0] >= 0])
+                    out["rewrites"].append(got.rewrites)
+                    out["altered"].append(got.altered)
+                    out["error"].append(got.error)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(out[k], t) for k, t in types.items()]], names=["conv_id", *types])
 
     head = grouped.schema["conv_id"].dataType.simpleString()
-    return grouped.mapInArrow(run, f"conv_id {head}, n_turns long, formatted string, turns array<struct<role:string,start:long,text_start:long,text_end:long,end:long>>, loss array<struct<start:long,end:long>>, rewrites array<long>")
+    return grouped.mapInArrow(run, f"conv_id {head}, n_turns long, formatted string, turns array<struct<role:string,start:long,text_start:long,text_end:long,end:long>>, loss array<struct<start:long,end:long>>, rewrites array<long>, altered array<long>, error string")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,14 +157,14 @@ def op7_black_box(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH r AS (
-  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id::BIGINT AS conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
          coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learned,
          3 + sum(6 + 1 + 5 + length(role) + length(text) + length(regexp_replace(role, '[^\\<\[\n]', '', 'g')) + length(regexp_replace(text, '[^\\<\[]', '', 'g'))) AS size
-  FROM r GROUP BY conv_id
+  FROM r GROUP BY conv_id, own
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, size::BIGINT AS formatted_chars FROM g
 """
