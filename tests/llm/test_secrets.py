@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
+import time
 
 from helpers import no_docs, odd_docs
 from pyspark.sql import functions as F
 
-from tessera.llm.secrets import op9_secrets, redact, scan_secrets
+from tessera.llm.secrets import COMPLEMENTS, op9_secrets, redact, scan_secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -60,7 +62,80 @@ def test_redaction_covers_every_span(spark):
     assert got == {0: "a [assign]' é [access] z [assign]", 1: None, 2: "clean"}
 
 
+PARTS = (
+    ("assign", "secret", True, 2, 8, ASSIGN),
+    ("access", "id", True, 0, 16, re.compile("AKIA[A-Z0-9]+")),
+    ("hex", "secret", True, 0, 32, re.compile("[0-9a-f]{32,}")),
+    ("part_id", "id", False, 1, 3, re.compile(r"""(?<![A-Za-z0-9_])(?:user_?name|user_?id|login|account_?id|client_?id|key_?id|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", re.I | re.A)),
+    ("part_secret", "secret", False, 0, 20, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")),
+    ("part_endpoint", "endpoint", False, 0, 8, re.compile(r"""(?<![A-Za-z0-9_])(?:https?|ftp|ssh|amqp|redis|postgres(?:ql)?|mysql|mongodb)://[^\s"'<>]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}:[0-9]{2,5}""", re.I | re.A)),
+)
+
+
+def brute(text, scope=200):
+    """Every span with its partner, part by part."""
+    parts = [(m.start(), k, m.end(), cls, strong) for k, (_, cls, strong, group, least, pattern) in enumerate(PARTS) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    parts = sorted(p for p in parts if p[4] or not any(q[4] and q[0] < p[2] and p[0] < q[2] for q in parts))
+    out = []
+    for p in parts:
+        near = []
+        for c in COMPLEMENTS[p[3]]:
+            earlier = [q for q in parts if q[3] == c and (q[0], q[1]) < (p[0], p[1])]
+            later = [q for q in parts if q[3] == c and (q[0], q[1]) > (p[0], p[1])]
+            near += [(max(0, p[0] - q[2]), q[0]) for q in [max(earlier, key=lambda q: (q[2], -q[0]))]] if earlier else []
+            near += [(max(0, min(q[0] for q in later) - p[2]), min(q[0] for q in later))] if later else []
+        near = [x for x in near if x[0] <= scope]
+        if p[4] or near:
+            out.append((PARTS[p[1]][0], p[0], p[2], min(near)[1] if near else None))
+    return out
+
+
+def spans_of(rows):
+    return {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["partner"]) for s in r["spans"]] for r in rows}
+
+
+def pieces_of_text(rnd):
+    key = lambda: "".join(rnd.choice("abcXYZ019_-") for _ in range(rnd.randint(15, 30)))
+    some = [
+        lambda: f"token = {key()}", lambda: f"PassWord:'{key()[:9]}'", lambda: "AKIA" + "".join(rnd.choice("AB12") for _ in range(rnd.randint(8, 20))), lambda: "".join(rnd.choice("0123abc") for _ in range(rnd.randint(20, 50))),
+        lambda: f"login={key()[:4]}", lambda: f"client_id: '{key()}'", key, lambda: f"https://h.example/{key()}", lambda: "10.0.0.1:8080", lambda: "é😀 " * rnd.randint(0, 40), lambda: "plain words " * rnd.randint(0, 20), lambda: "user=ab", lambda: "=",
+    ]
+    return "".join(rnd.choice(some)() + rnd.choice([" ", "", "\n", "é"]) for _ in range(rnd.randint(0, 12)))
+
+
+def test_spans_and_partners_equal_brute_force(spark, sf):
+    rnd = random.Random(5)
+    texts = [pieces_of_text(rnd) for _ in range(1500)]
+    got = spans_of(scan_secrets(frame(spark, texts), scope=60).collect())
+    want = {i: brute(t, 60) for i, t in enumerate(texts)}
+    assert got == want and sum(len(x) for x in want.values()) > 2000 and {s[0] for x in want.values() for s in x} == {p[0] for p in PARTS}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert spans_of(scan_secrets(docs).collect()) == {r["doc_id"]: brute(r["text"]) for r in docs.collect()}
+
+
+def test_redaction_equals_brute_force(spark):
+    rnd = random.Random(6)
+    texts = [pieces_of_text(rnd) for _ in range(500)]
+    out = scan_secrets(frame(spark, texts).withColumn("t2", F.col("text")), keep=("t2",)).withColumn("t", redact(F.col("t2"), F.col("spans")))
+    for r in out.collect():
+        at, want = 0, ""
+        for kind, a, b, _ in brute(texts[r["doc_id"]]):
+            if a >= at:
+                want += texts[r["doc_id"]][at:a] + f"[{kind}]"
+            at = max(at, b)
+        assert r["t"] == want + texts[r["doc_id"]][at:]
+
+
+def test_redaction_takes_linear_time(spark):
+    text = "é token = 'abcdef0123456789' and some words\n" * 60_000
+    out = scan_secrets(frame(spark, [text]).withColumn("t2", F.col("text")), keep=("t2",)).withColumn("t", redact(F.col("t2"), F.col("spans")))
+    began = time.perf_counter()
+    assert out.collect()[0]["t"] == "é [assign]' and some words\n" * 60_000
+    assert time.perf_counter() - began < 30
+
+
 def test_odd_and_empty(spark):
     got = scan_secrets(odd_docs(spark)).collect()
     assert len(got) == 11 and max(len(r["spans"]) for r in got) == 3000
+    assert scan_secrets(odd_docs(spark), keep=("spans", "lang")).columns == ["doc_id", "spans_kept", "lang", "spans"]
     assert scan_secrets(no_docs(spark)).collect() == []
