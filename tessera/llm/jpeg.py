@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import kept, table, utf8
 
 
 def _zigzag() -> np.ndarray:
@@ -30,6 +30,8 @@ _COS = np.where(_U[:, None] == 0, np.sqrt(1 / 8), np.sqrt(1 / 4)) * np.cos((2 *
 FRACTION = 13
 BASIS = np.rint(np.einsum("ux,vy->uvxy", _COS, _COS).reshape(64, 64)[ZIGZAG] * (1 << FRACTION))
 CHUNK = 1 << 13
+#: Pixels of the largest image: its RGB bytes must fit into one Arrow value.
+MOST_PIXELS = (2**31 - 1024) // 3
 
 
 @lru_cache(maxsize=256)
@@ -100,14 +102,18 @@ class Decoder:
         self.tables: dict[tuple[int, int], tuple[bytes, bytes]] = {}
         self.comments: list[bytes] = []
         self.restart = self.width = self.height = 0
+        self.ended = False
         if data[:2] != b"\xff\xd8":
             raise ValueError("no JPEG")
         at = 2
         while at < len(data):
-            while data[at] == 0xFF and data[at + 1] == 0xFF:
+            if data[at] != 0xFF:
+                raise ValueError("no marker where one must be")
+            while data[at + 1] == 0xFF:
                 at += 1
             marker = data[at + 1]
             if marker == 0xD9:
+                self.ended = True
                 break
             size = struct.unpack(">H", data[at + 2 : at + 4])[0]
             body = data[at + 4 : at + 2 + size]
@@ -132,11 +138,13 @@ class Decoder:
                 self.comments.append(body)
             elif marker == 0xDA:
                 at = self._scan(body, data, at)
+        if not self.components or not self.ended:
+            raise ValueError("the image has no frame or no end")
 
     def _frame(self, body: bytes) -> None:
         precision, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
-        if precision != 8:
-            raise ValueError("8-bit samples only")
+        if precision != 8 or not self.width or not self.height or n not in (1, 3) or self.width * self.height > MOST_PIXELS:
+            raise ValueError("only 8-bit samples in one or three components, some, and no more than a tensor holds")
         for i in range(n):
             c, hv, q = body[6 + 3 * i : 9 + 3 * i]
             self.components[c] = Component(hv >> 4, hv & 15, q)
@@ -425,58 +433,84 @@ def padded(text: bytes) -> bytes:
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, the columns named in keep, n_bytes, media (a progressive JPEG that holds the text's bytes).
+    """One row per row of docs: doc_id, the columns named in keep (NAME_kept if they bear the name of another column of the result), n_bytes, media (a progressive JPEG that holds the text's bytes).
 
     The text's UTF-8 bytes are padded with bytes 0 to a positive multiple of 64. A null text is empty.
+    Equal texts have equal media; repeated rows each get their row; an empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), *keep, utf8(text_col).alias("__text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), *kept(keep, ("doc_id", "n_bytes", "media", "__text")), utf8(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = [t.as_py() for t in part.column(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(len, texts), pa.int64()), pa.array([encode(padded(t)) for t in texts], pa.binary())], names=[*part.schema.names[:-1], "n_bytes", "media"])
 
     return slim.mapInArrow(run, slim.drop("__text").withColumns({"n_bytes": F.lit(0).cast("long"), "media": F.lit(None).cast("binary")}).schema)
 
 
-def decode(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = (), tensors: bool = True, digests: bool = False) -> DataFrame:
-    """Decode progressive JPEGs: the columns named in keep, height, width, feature and, if asked, rgb (the tensor's bytes, row by row) and the digests of a payload.
+#: Bytes of tensors that leave a worker together, apart from a larger single one.
+TOGETHER = 32 << 20
+_TENSOR = {"height": "int", "width": "int", "rgb": "binary", "feature": "string", "error": "string"}
+_DIGESTS = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string"}
+
+
+def decode(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = (), digests: bool = False) -> DataFrame:
+    """Decode progressive JPEGs to full-resolution RGB tensors: the columns named in keep (NAME_kept if they bear the name of another column of the result), height, width, rgb (height x width x 3 bytes, row by row), feature, error and, if asked, the digests of a payload.
 
     Scans are accumulated into coefficient arrays (spectral selection and successive approximation, first
     passes and refinements), blocks are inverse-transformed in numpy, chroma is upsampled to the image's size. feature
-    sums up the tensor: its shape, each channel's mean, and the CRC of all samples. A null medium gives nulls;
-    one that is no progressive JPEG fails the query. Images are decoded one by one.
+    sums up the tensor: its shape, each channel's mean, and the CRC of all samples. A null medium gives nulls.
+    A medium that is broken, cut off, too large for a tensor or no progressive JPEG gives nulls and the reason in error; other rows are not
+    touched by it. Images are decoded one by one; repeated rows each get their row; an empty table gives an empty result.
     """
-    slim = media.select(*keep, F.col(media_col).alias("__media"))
-    extra = {"height": "int", "width": "int", "feature": "string"} | ({"rgb": "binary"} if tensors else {}) | ({"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string"} if digests else {})
+    extra = _TENSOR | (_DIGESTS if digests else {})
+    slim = media.select(*kept(keep, (*extra, "__media")), F.col(media_col).alias("__media"))
     kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
 
     def one(data: bytes | None) -> dict:
         if data is None:
             return {}
-        image = Decoder(data)
-        rgb = image.rgb()
+        try:
+            image = Decoder(data)
+            rgb = image.rgb()
+            payload = payload_of(image) if digests else b""
+        except (ValueError, IndexError, KeyError, StopIteration, struct.error, MemoryError, OverflowError, ZeroDivisionError, AttributeError) as e:
+            return {"error": f"{type(e).__name__}: {e}"}
         raw = rgb.tobytes()
         means = ",".join(f"{int(s) / rgb[:, :, 0].size:.4f}" for s in rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64))
         out = {"height": rgb.shape[0], "width": rgb.shape[1], "feature": f"{rgb.shape[0]}x{rgb.shape[1]}x3;mean={means};crc32={zlib.crc32(raw):08x}", "rgb": raw}
         if digests:
-            payload = payload_of(image)
             out |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 128):
-                part = b.slice(a, 128)
-                rows = [one(m.as_py()) for m in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array([r.get(k) for r in rows], kinds[t]) for k, t in extra.items()]], names=[*part.schema.names[:-1], *extra])
+            first, rows, size = 0, [], 0
+            for n in range(b.num_rows):
+                rows.append(one(b.column(b.num_columns - 1)[n].as_py()))
+                size += len(rows[-1].get("rgb") or b"")
+                if size >= TOGETHER or n + 1 == b.num_rows:
+                    part = b.slice(first, len(rows))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array([r.get(k) for r in rows], kinds[t]) for k, t in extra.items()]], names=[*part.schema.names[:-1], *extra])
+                    first, rows, size = n + 1, [], 0
 
     return slim.mapInArrow(run, slim.drop("__media").withColumns({k: F.lit(None).cast(t) for k, t in extra.items()}).schema)
 
 
+def store_tensors(media: DataFrame, path: str, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Write decode()'s tensors as Parquet below path, which the cluster shares, and read them back; tensor() gives the array of a row."""
+    decode(media, media_col, keep).write.parquet(path)
+    return media.sparkSession.read.parquet(path)
+
+
+def tensor(row) -> np.ndarray:
+    """(height, width, 3) unsigned bytes of a stored row."""
+    return np.frombuffer(row["rgb"], np.uint8).reshape(row["height"], row["width"], 3)
+
+
 def op10_progressive_jpeg(spark, sf_dir: str) -> DataFrame:
     media = to_media(table(spark, sf_dir, "documents"))
-    found = decode(media, keep=("doc_id", "n_bytes"), tensors=False, digests=True)
+    found = decode(media, keep=("doc_id", "n_bytes"), digests=True)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import no_docs, odd_docs
+from pyspark.sql import functions as F
 
 from tessera.llm import jpeg
 
@@ -190,6 +191,87 @@ def test_decoder_reads_any_progressive_stream(shape):
     assert np.abs(image.planes()[0][:8, :8].astype(int) - want[: min(8, height), : min(8, width)]).max() <= 1
 
 
+def slow_rgb(comps, width, height):
+    """comps: (h, v, quant, grid in zigzag order): each block by the cosine sum in floating point, chroma repeated, colours by the real-valued formulas."""
+    hmax, vmax = max(c[0] for c in comps), max(c[1] for c in comps)
+    cos = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+    planes = []
+    for h, v, quant, grid in comps:
+        rows, cols, _ = grid.shape
+        plane = np.zeros((8 * rows, 8 * cols))
+        for r in range(rows):
+            for c in range(cols):
+                block = np.zeros(64)
+                block[jpeg.ZIGZAG] = grid[r, c] * quant
+                plane[8 * r : 8 * r + 8, 8 * c : 8 * c + 8] = cos.T @ block.reshape(8, 8) @ cos + 128
+        plane = np.clip(np.floor(plane + 0.5), 0, 255)
+        planes.append(np.array([[plane[y * v // vmax, x * h // hmax] for x in range(width)] for y in range(height)]))
+    if len(planes) == 1:
+        return np.repeat(planes[0][:, :, None], 3, 2)
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+    return np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2), 0, 255)
+
+
+@pytest.mark.parametrize("shape", [(((1, 1),), 24, 17), (((2, 2), (1, 1), (1, 1)), 45, 39), (((2, 1), (1, 1), (1, 1)), 33, 20)])
+def test_whole_images_equal_brute_force(shape):
+    factors, width, height = shape
+    rng = np.random.default_rng(6)
+    hmax, vmax = max(h for h, _ in factors), max(v for _, v in factors)
+    rows, cols = -(-height // (8 * vmax)), -(-width // (8 * hmax))
+    comps = [(h, v, rng.integers(1, 4, 64), sparse(rng, rows * v, cols * h)) for h, v in factors]
+    got = jpeg.Decoder(plain_jpeg(comps, width, height, 0)).rgb().astype(float)
+    off = np.abs(got - slow_rgb(comps, width, height))
+    # a sample may round the other way, which the colour formulas carry on
+    assert off.max() <= 3.3 and off.mean() < 0.4
+
+
+def test_query_equals_brute_force(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = jpeg.op10_progressive_jpeg(spark, sf).collect()
+    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
+    for n, r in enumerate(got):
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(64 - len(raw) if len(raw) < 64 else -len(raw) % 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        if n < 12 and len(payload) < 3000:
+            # the stored image, from the bytes alone: luma blocks MCU by MCU, then both chroma planes
+            across, down = jpeg.geometry(len(payload) // 64)
+            data = np.frombuffer(payload.ljust(384 * across * down, b"\0"), np.uint8).astype(int).reshape(-1, 64)
+            values, mcus, one = np.where(data < 128, data - 255, data), across * down, np.ones(64, int)
+            comps = [(2, 2, one, values[: 4 * mcus].reshape(2 * down, 2 * across, 64)), *[(1, 1, one, values[k * mcus : (k + 1) * mcus].reshape(down, across, 64)) for k in (4, 5)]]
+            want = slow_rgb(comps, 16 * across, 16 * down)
+            head, means, _ = r["feature"].split(";")
+            assert head == f"{16 * down}x{16 * across}x3"
+            assert np.allclose([float(x) for x in means.removeprefix("mean=").split(",")], want.mean(axis=(0, 1)), atol=0.3)
+
+
+def test_broken_media_are_reported(spark):
+    good = jpeg.encode(jpeg.padded(b"some text " * 50))
+    rnd = np.random.default_rng(7)
+    cut = [good[:n] for n in (0, 1, 3, 20, 100, len(good) // 2, len(good) - 2)]
+    spoilt = []
+    for _ in range(200):
+        raw = bytearray(good)
+        for at in rnd.integers(2, len(raw), 3):
+            raw[at] = int(rnd.integers(0, 256))
+        spoilt.append(bytes(raw))
+    baseline = good.replace(b"\xff\xc2", b"\xff\xc0", 1)
+    media = spark.createDataFrame([(i, x) for i, x in enumerate([good, None, baseline, b"no image", *cut, *spoilt])], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in jpeg.decode(media, keep=("doc_id",)).collect()}
+    assert len(got) == 11 + 200 and got[0]["error"] is None and got[0]["rgb"] and got[1]["error"] is None
+    assert all(got[i]["error"] and got[i]["rgb"] is None for i in range(2, 11))
+    assert all((r["error"] is None) == (r["rgb"] is not None) for i, r in got.items() if i != 1)
+
+
+def test_tensors_are_stored(spark, tmp_path):
+    docs = odd_docs(spark)
+    media = jpeg.to_media(docs).select("doc_id", "media")
+    got = jpeg.store_tensors(media, str(tmp_path / "tensors"), keep=("doc_id",)).collect()
+    assert len(got) == 11
+    for r, m in zip(sorted(got, key=lambda r: (r["doc_id"] or 0, r["feature"])), sorted(jpeg.decode(media, keep=("doc_id", "media")).collect(), key=lambda r: (r["doc_id"] or 0, r["feature"])), strict=True):
+        assert (jpeg.tensor(r) == jpeg.Decoder(bytes(m["media"])).rgb()).all()
+
+
 def test_odd_and_empty(spark):
     got = jpeg.decode(jpeg.to_media(odd_docs(spark)), keep=("doc_id", "n_bytes"), digests=True).collect()
     assert len(got) == 11
@@ -197,5 +279,7 @@ def test_odd_and_empty(spark):
     assert len({r["media_sha256"] for r in got if r["doc_id"] in (1, 7)}) == 1
     assert all(len(r["rgb"]) == r["height"] * r["width"] * 3 for r in got)
     assert jpeg.decode(jpeg.to_media(no_docs(spark))).collect() == []
+    clash = jpeg.decode(jpeg.to_media(odd_docs(spark).withColumn("media", F.lit("m")), keep=("media", "lang")), keep=("media_kept", "lang", "n_bytes"))
+    assert clash.columns == ["media_kept", "lang", "n_bytes", "height", "width", "rgb", "feature", "error"] and clash.filter("media_kept = 'm'").count() == 11
     nothing = spark.createDataFrame([(None,)], "media binary")
     assert jpeg.decode(nothing).collect()[0]["rgb"] is None
