@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 # Words that carry no meaning in a question.
 STOPWORDS = (
-    "the a an and or of to in on for with at by from is are was were be been being this that these those it its as "
-    "how what when why who which does do did can could should would about into out over under"
-).split()
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "at", "by", "from", "is", "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "it", "its", "as",
+    "how", "what", "when", "why", "who", "which", "does", "do", "did", "can", "could", "should", "would", "about", "into", "out", "over", "under",
+)
 # Source file types; grammar of slugs, links and mentions.
 EXTENSIONS = (".md", ".txt", ".csv", ".json", ".mmd", ".yaml", ".yml")
 SEGMENT = "[a-z0-9]+(?:-[a-z0-9]+)*"
@@ -21,8 +21,25 @@ ANCHORED_LINK = r"\[\[([^\]|#]+)(#[^|\]]*)?(?:\|([^\]]*))?\]\]"
 MENTION = rf"(?U)(?<![\w:-]){SEGMENT}(?::{SEGMENT})+(?![\w-])"
 PARAGRAPH_BREAK = r"\n[ \t]*\n+"
 
-_ACCENTED = [chr(c) for c in range(0xC0, 0x180) if len(d := unicodedata.normalize("NFKD", chr(c))) > 1 and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:])]
-_PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
+
+
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """From Unicode's compatibility decompositions of the basic plane: letters with one plain letter or digit (and that), and those with several of a-z and 0-9."""
+    marked, plain, several = [], [], {}
+    for c in map(chr, range(0xAA, 0x10000)):
+        parts = unicodedata.normalize("NFKD", c)
+        bare = "".join(x for x in parts if not unicodedata.combining(x))
+        if parts == c or not bare:
+            continue
+        if len(bare) == 1 and bare.isalnum():
+            marked.append(c)
+            plain.append(bare)
+        elif len(bare) > 1 and any(x.isascii() and x.isalnum() for x in bare):
+            several[c] = bare
+    return "".join(marked), "".join(plain), several
+
+
+_ACCENTED, _PLAIN, _SEVERAL = _decompositions()
 
 
 def col(c: Column | str) -> Column:
@@ -35,14 +52,22 @@ def strip(c: Column | str) -> Column:
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Latin letters without their marks; others stay."""
-    return F.translate(col(c), "".join(_ACCENTED), _PLAIN)
+    """Letters without their marks, whether composed or followed by them; texts of ASCII alone are passed through."""
+    bare = F.regexp_replace(F.translate(col(c), _ACCENTED, _PLAIN), r"\p{M}+", "")
+    return F.when(col(c).rlike(r"[^\x00-\x7F]"), bare).otherwise(col(c))
+
+
+def decomposed(c: Column | str) -> Column:
+    """strip_accents, and characters that stand for several letters or digits (ligatures, fractions, units) written out."""
+    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    each = F.transform(F.split(col(c), ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return strip_accents(F.when(col(c).rlike("[" + "".join(_SEVERAL) + "]"), F.array_join(each, "")).otherwise(col(c)))
 
 
 def keywords(question: Column | str, cap: int = 12) -> Column:
     """Lower-cased ASCII words of three letters or more that are no stopwords, in order of first use, `cap` at most."""
     words = F.split(F.lower(col(question)), "[^a-zA-Z0-9]+")
-    return F.slice(F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS))), 1, cap)
+    return F.slice(F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS))), 1, cap)
 
 
 def tokens(body: Column | str) -> Column:
@@ -77,7 +102,7 @@ def anchored_links(body: Column | str) -> Column:
 
 def slugify(text: Column | str) -> Column:
     """Lower case, no accents, white space and underscores as hyphens, nothing but [a-z0-9-], no doubled or outer hyphens."""
-    gapped = F.regexp_replace(F.lower(strip_accents(text)), r"(?U)[\s_]+", "-")
+    gapped = F.regexp_replace(F.lower(decomposed(text)), r"(?U)[\s_]+", "-")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(gapped, "[^a-z0-9-]", ""), "-+", "-"), "^-|-$", "")
 
 

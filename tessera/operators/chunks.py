@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import paragraphs, sha256
+from ..plans.stable import stable
+from .vectors import embed
 
 
 def group_paragraphs(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
@@ -92,3 +94,32 @@ def indexable(path, in_local_tree, scope: str = "pages"):
     page = F.startswith(path, F.lit("pages/")) & F.endswith(path, F.lit(".md")) & ~name.isin("index.md", "AGENTS.md", "CONTRIBUTORS.md")
     source = F.startswith(path, F.lit("sources/")) if scope == "pages+sources" else F.lit(False)
     return (page | source) & ~in_local_tree
+
+
+def reindex(files: DataFrame, index: DataFrame, model, **chunking) -> tuple[DataFrame, DataFrame]:
+    """(new index, report) after bringing an index up to date in three phases: compare hashes, chunk and embed what changed, put old and new rows together.
+
+    files(rel_path, body, indexable), index(rel_path, content_hash, chunk_index, content, embedding). The report
+    has rel_path, status (reindexed, skipped, dropped, removed, failed), error and tokens. A file of which a chunk cannot be embedded has failed: its
+    old rows stay, and no other file is touched by it. Both results are checkpointed, so the model is called once.
+    """
+    hashed = files.withColumn("content_hash", sha256(F.coalesce("body", F.lit(""))))
+    old = index.select("rel_path", "content_hash").distinct()
+    status = stable(reconcile(hashed.select("rel_path", "content_hash", "indexable"), old))
+    todo = hashed.join(status.filter("status = 'reindexed'"), "rel_path", "left_semi")
+    made = chunk(todo.select("rel_path", F.coalesce("body", F.lit("")).alias("body")), key="rel_path", **chunking).select("rel_path", "chunk_index", "content")
+    keyed = made.withColumn("__key", F.struct("rel_path", "chunk_index", "content"))
+    done = stable(embed(keyed, "__key", "content", model).select("__key.*", "embedding", "error", "tokens"))
+    wrong = done.filter("error is not null").groupBy("rel_path").agg(F.min("error").alias("error"))
+    spent = done.groupBy("rel_path").agg(F.sum("tokens").alias("tokens"))
+    report = status.join(wrong, "rel_path", "left").join(spent, "rel_path", "left")
+    report = stable(report.select("rel_path", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("status")).alias("status"), "error", F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens")))
+    kept = index.join(report.filter("status in ('skipped', 'failed')"), "rel_path", "left_semi")
+    fresh = done.join(report.filter("status = 'reindexed'").select("rel_path"), "rel_path", "left_semi").join(hashed.select("rel_path", "content_hash"), "rel_path")
+    columns = ["rel_path", "content_hash", "chunk_index", "content", "embedding"]
+    return stable(kept.select(*columns).unionByName(fresh.select(*columns))), report
+
+
+def without_file(index: DataFrame, rel_path: str) -> DataFrame:
+    """The index without a file's rows."""
+    return index.filter(F.col("rel_path") != rel_path)

@@ -3,29 +3,71 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+import time
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..plans.ranks import global_rank
+from ..plans.stable import stable
 
 SATURATED = 0.25
 
 
-def gold_by_containment(bank: DataFrame, pages: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
-    """qid, gold: sorted slugs of pages that hold the question's text word for word; questions without any are unanswerable.
+#: Questions held against the corpus in one pass, and characters of a question that are looked up before the rest is compared.
+BLOCK, PIECE = 50_000, 24
+
+
+def gold_by_containment(bank: DataFrame, pages: DataFrame) -> DataFrame:
+    """qid, question, gold: sorted slugs of pages that hold the question's text word for word; questions without any are unanswerable.
 
-    The questions are the stated query set: they are split into blocks of about block_bytes, and each block is held
-    against all pages, inside a page's row.
+    The questions are the stated query set, taken in blocks of BLOCK. Of each question the piece of PIECE
+    characters that the fewest share (first, middle or last) goes into an Aho-Corasick automaton; a page is walked once
+    for all of them, and where a piece is found the whole question is compared. Only pages with a question leave their task. An empty question is in every page.
     """
-    total = bank.agg(F.sum(F.octet_length("question"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
-    hits = None
-    for n in range(blocks):
-        own = bank.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n)
-        asked = own.agg(F.array_sort(F.collect_list(F.struct("qid", "question"))).alias("q"))
-        found = pages.select("slug", "body").crossJoin(F.broadcast(asked)).select("slug", F.explode(F.filter("q", lambda x: F.contains(F.col("body"), x["question"]))).alias("x")).select("slug", "x.qid")
-        hits = found if hits is None else hits.unionByName(found)
-    gold = hits.groupBy("qid").agg(F.sort_array(F.collect_set("slug")).alias("gold"))
+    rows = sorted({(r["qid"], r["question"]) for r in bank.select("qid", "question").collect() if r["question"] is not None}, key=str)
+    kind = to_arrow_type(bank.schema["qid"].dataType)
+    head = f"qid {bank.schema['qid'].dataType.simpleString()}, slug string"
+    found = [bank.sparkSession.createDataFrame([], head)]
+    for first in range(0, len(rows), BLOCK):
+        own = rows[first : first + BLOCK]
+        starts = [sorted({0, max(0, (len(t) - PIECE) // 2), max(0, len(t) - PIECE)}) for _, t in own]
+        shared_by = Counter(t[a : a + PIECE] for (_, t), some in zip(own, starts, strict=True) for a in some)
+        asked: dict[str, list[tuple]] = {}
+        for (qid, t), some in zip(own, starts, strict=True):
+            a = min(some, key=lambda a: (shared_by[t[a : a + PIECE]], a))
+            asked.setdefault(t[a : a + PIECE], []).append((qid, t, a))
+        shared = bank.sparkSession.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for piece, some in shared.value.items():
+                if piece:
+                    automaton.add_word(piece, some)
+            automaton.make_automaton()
+            for b in batches:
+                hits = []
+                for slug, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if body is None:
+                        continue
+                    named = {q for q, _, _ in shared.value.get("", ())}
+                    if len(automaton):
+                        for end, some in automaton.iter(body):
+                            for q, text, a in some:
+                                at = end + 1 - min(PIECE, len(text)) - a
+                                if q not in named and at >= 0 and body.startswith(text, at):
+                                    named.add(q)
+                    hits += [(q, slug) for q in named]
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in hits], kind), pa.array([s for _, s in hits], pa.string())], names=["qid", "slug"])
+
+        found.append(pages.select("slug", "body").mapInArrow(run, head))
+    gold = reduce(DataFrame.unionByName, found).groupBy("qid").agg(F.sort_array(F.collect_set("slug")).alias("gold"))
     return bank.join(gold, "qid", "left").select("qid", "question", F.coalesce("gold", F.array().cast("array<string>")).alias("gold"))
 
 
@@ -71,7 +113,7 @@ def leaderboard(evals: DataFrame) -> DataFrame:
     """Rank evaluations by score, then speed; the first of equal fingerprints counts. evals(eval_idx, fingerprint, score, mean_ms)."""
     once = Window.partitionBy("fingerprint").orderBy("eval_idx")
     first = evals.withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth")
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "mean_ms", "eval_idx")))
+    return global_rank(first, [F.desc("score"), F.col("mean_ms"), F.col("eval_idx")])
 
 
 def best(evals: DataFrame) -> DataFrame:
@@ -79,8 +121,10 @@ def best(evals: DataFrame) -> DataFrame:
     return evals.agg(F.max_by(F.struct("eval_idx", "fingerprint", "score"), F.struct("score", -F.col("eval_idx"))).alias("b")).select("b.*")
 
 
-def saturated(k: int, n_pages: int) -> bool:
-    """Whether a top-k over so few pages says little."""
+def saturated(k, n_pages):
+    """Whether a top-k over so few pages says little; numbers or columns."""
+    if isinstance(n_pages, Column):
+        return (n_pages > 0) & (k / n_pages > SATURATED)
     return n_pages > 0 and k / n_pages > SATURATED
 
 
@@ -109,15 +153,42 @@ def rewritten_within(commits: DataFrame, hours: int = 24) -> DataFrame:
     return commits.withColumn("soon", F.coalesce(soon, F.lit(False))).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("soon").cast("long")).alias("rewritten"))
 
 
+def adoption(actions: DataFrame) -> DataFrame:
+    """One row: tasks, target, adopted, satisfied, tokens_a_task, stale.
+
+    actions(task, kind, tokens), kind one of ask, search, answer, retry, stale and others. Target is the share of tasks that ask
+    something, adopted that of asking tasks which search, satisfied that of searching tasks which never retry;
+    stale counts tasks that met a stale page. A share without tasks is 0.
+    """
+    has = lambda kind: F.max((F.col("kind") == kind).cast("int")) == 1
+    tasks = actions.groupBy("task").agg(has("ask").alias("asks"), has("search").alias("searches"), has("retry").alias("retries"), has("stale").alias("stale"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    n = lambda c: F.count(F.when(c, 1))
+    share = lambda part, of: F.round(F.coalesce(n(part) / F.nullif(n(of), F.lit(0)), F.lit(0.0)), 6)
+    every, asks, searches = F.lit(True), F.col("asks"), F.col("asks") & F.col("searches")
+    return tasks.agg(n(every).alias("tasks"), share(asks, every).alias("target"), share(searches, asks).alias("adopted"), share(searches & ~F.col("retries"), searches).alias("satisfied"), F.round(F.coalesce(F.avg("tokens"), F.lit(0.0)), 6).alias("tokens_a_task"), n(F.col("stale")).alias("stale"))
+
+
 def grid(strategies: list[str], ks: list[int]) -> list[tuple[str, int]]:
     """Configurations in the order in which a search tries them."""
     return list(itertools.product(strategies, ks))
 
 
-def optimise(bank: DataFrame, run: Callable[[str, int], DataFrame], strategies: list[str], ks: list[int]) -> DataFrame:
-    """Score every configuration in one job: eval_idx, fingerprint, score, hit_at_k, abstention, ranked."""
-    cards = None
+def optimise(bank: DataFrame, run: Callable[[str, int], DataFrame], strategies: list[str], ks: list[int], sampled: DataFrame | None = None) -> DataFrame:
+    """Score every configuration: eval_idx, fingerprint, score, hit_at_k, abstention, mean_ms, full_score, ranked.
+
+    Configurations are tried on `sampled` (a sample of the bank; without one, the bank). mean_ms is the time a
+    configuration took, a question. The winner is scored again on the full bank, which is full_score; the others have none there.
+    """
+    asked = stable(sampled if sampled is not None else bank)
+    questions = max(1, asked.count())
+    rows = []
     for n, (strategy, k) in enumerate(grid(strategies, ks)):
-        card = scorecard(results(bank, run(strategy, k), k)).select(F.lit(n).alias("eval_idx"), F.lit(f"{strategy}[k={k}]").alias("fingerprint"), "score", "hit_at_k", "abstention", F.lit(0.0).alias("mean_ms"))
-        cards = card if cards is None else cards.unionByName(card)
-    return leaderboard(cards)
+        began = time.perf_counter()
+        card = scorecard(results(asked, run(strategy, k), k)).first()
+        rows.append((n, f"{strategy}[k={k}]", card["score"], card["hit_at_k"], card["abstention"], round(1000 * (time.perf_counter() - began) / questions, 3), strategy, k))
+    spark = bank.sparkSession
+    kinds = "eval_idx int, fingerprint string, score double, hit_at_k double, abstention double, mean_ms double"
+    winner = best(spark.createDataFrame([r[:6] for r in rows], kinds)).first()["eval_idx"]
+    full = rows[winner][2] if sampled is None else scorecard(results(bank, run(rows[winner][6], rows[winner][7]), rows[winner][7])).first()["score"]
+    tried = spark.createDataFrame([(*r[:6], full if r[0] == winner else None) for r in rows], f"{kinds}, full_score double")
+    return leaderboard(tried)

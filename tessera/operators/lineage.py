@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import candidate_key, sha256, source_ref
+from ..plans.ranks import next_in_key
 from .graph import chains
 
 
@@ -20,12 +23,11 @@ def registered(arrivals: DataFrame) -> DataFrame:
     """rel_path, sha256, document_key, seq, superseded_by after registering arrivals in order.
 
     arrivals(rel_path, sha256, document_key, seq). A repeated path with the same hash registers nothing new; of the versions of one key each
-    is superseded by the next. Rows without a key stand alone. Keys are dealt over the cluster; versions of one key meet in one window.
+    is superseded by the next. Rows without a key stand alone. A key's versions are spread over buckets of seq, so a key may hold any share of the rows.
     """
     once = Window.partitionBy("rel_path", "sha256").orderBy("seq")
     first = arrivals.withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth")
-    nxt = Window.partitionBy("document_key").orderBy("seq", "rel_path")
-    return first.withColumn("superseded_by", F.when(F.col("document_key").isNotNull(), F.lead("rel_path").over(nxt)))
+    return next_in_key(first, "document_key", "seq", "rel_path", "superseded_by")
 
 
 def derived_conflicts(arrivals: DataFrame, registry: DataFrame) -> DataFrame:
@@ -128,3 +130,19 @@ def recorded_refs(scanned: DataFrame, pages: DataFrame, known_aliases: DataFrame
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new, and those of old whose keys new lacks."""
     return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+
+
+def listed_refs(trees: dict[str, DataFrame]) -> DataFrame:
+    """citation_path, token, page_slug, exact of the recorded references(rel_path, token, page_slug, exact) of several trees."""
+    return reduce(DataFrame.unionByName, [refs.select(F.concat(F.lit(f"{tree}/"), "rel_path").alias("citation_path"), "token", "page_slug", "exact") for tree, refs in trees.items()])
+
+
+def scanned(refs: DataFrame, stamps: DataFrame, found: DataFrame, texts: DataFrame, at) -> tuple[DataFrame, DataFrame]:
+    """(refs, stamps) after the texts(rel_path) were scanned and found(rel_path, token, page_slug, exact) came out of it.
+
+    What was recorded of a scanned source is replaced. stamps(rel_path, scanned_at) tells a source without references from one that was never scanned.
+    """
+    own = texts.select("rel_path").distinct()
+    kept = refs.join(own, "rel_path", "left_anti").select("rel_path", "token", "page_slug", "exact")
+    marked = own.withColumn("scanned_at", F.lit(at).cast("timestamp"))
+    return kept.unionByName(found.select("rel_path", "token", "page_slug", "exact")), upserted(stamps, marked, ["rel_path"])

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import mentions, namespaces, normal_lines, slug_to_path, source_ref, wikilinks
+from ..functions.text import mentions, namespaces, normal_lines, references, slug_to_path, source_ref, wikilinks
+from ..plans.stable import stable
 from .graph import RESERVED, first_aliases, folded
 
 ERROR, WARNING = "error", "warning"
@@ -47,13 +48,23 @@ def alias_checks(pages: DataFrame) -> DataFrame:
     return reserved.unionByName(shadowed).unionByName(_finding(claims.join(torn, "alias", "left_semi"), "alias-conflict", ERROR, "path", "alias"))
 
 
-def wikilink_checks(pages: DataFrame) -> DataFrame:
-    """A broken link for each occurrence; a link that only an alias resolves."""
+def pinned_aliases(pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """alias: those that source texts(rel_path, text), which cannot be edited, name by link or mention; they must stay."""
+    said = texts.select(F.explode(references("text")).alias("r")).select(F.col("r.token").alias("alias")).distinct()
+    return first_aliases(pages).select("alias").join(said, "alias", "left_semi")
+
+
+def _unpinned(named: DataFrame, by: str, pinned: DataFrame | None) -> DataFrame:
+    return named if pinned is None else named.join(pinned.select(F.col("alias").alias(by), F.lit(True).alias("pinned")), by, "left").filter("pinned is null").drop("pinned")
+
+
+def wikilink_checks(pages: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """A broken link for each occurrence; a link that only an alias resolves, unless a source pins the alias."""
     links = pages.select("slug", "path", F.explode(F.transform(wikilinks("body"), lambda x: x["target"])).alias("target")).filter("target <> slug")
     named = first_aliases(pages).select(F.col("alias").alias("target"), F.col("slug").alias("to"))
     known = pages.select(F.col("slug").alias("target"), F.lit(True).alias("live"))
     judged = links.join(named, "target", "left").join(known, "target", "left")
-    via = _finding(judged.filter("to is not null"), "wikilink-via-alias", WARNING, "path", F.concat("target", F.lit(" -> "), "to"))
+    via = _finding(_unpinned(judged.filter("to is not null"), "target", pinned), "wikilink-via-alias", WARNING, "path", F.concat("target", F.lit(" -> "), "to"))
     return via.unionByName(_finding(judged.filter("to is null and live is null"), "broken-wikilink", ERROR, "path", "target"))
 
 
@@ -61,13 +72,13 @@ def namespaces_in_use(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(namespaces("slug")).alias("namespace")).distinct()
 
 
-def mention_checks(pages: DataFrame) -> DataFrame:
-    """Slug-shaped words in prose that are no page though their whole parent prefix is a namespace in use."""
+def mention_checks(pages: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """Slug-shaped words in prose that are no page though their whole parent prefix is a namespace in use; aliases that a source pins are let be."""
     said = pages.select("slug", "path", F.explode(mentions("body")).alias("token"))
     said = said.join(pages.select(F.col("slug").alias("token")), "token", "left_anti")
     said = said.withColumn("namespace", F.regexp_replace("token", ":[^:]*$", "")).join(namespaces_in_use(pages), "namespace", "left_semi")
     judged = said.join(first_aliases(pages).select(F.col("alias").alias("token"), F.col("slug").alias("to")), "token", "left")
-    via = _finding(judged.filter("to is not null"), "slug-mention-via-alias", WARNING, "path", F.concat("token", F.lit(" -> "), "to"))
+    via = _finding(_unpinned(judged.filter("to is not null"), "token", pinned), "slug-mention-via-alias", WARNING, "path", F.concat("token", F.lit(" -> "), "to"))
     return via.unionByName(_finding(judged.filter("to is null"), "dead-slug-mention", WARNING, "path", "token"))
 
 
@@ -107,19 +118,28 @@ def source_reference_checks(pages: DataFrame, refs: DataFrame, texts: DataFrame)
 def orphan_pages(pages: DataFrame, log: DataFrame) -> DataFrame:
     """Pages that no other page links to and no log text contains.
 
-    Only pages without inbound links are held against the log, and only log lines that can hold a slug's first
-    segment; the substring test is a join on three-letter grams with an exact check, never all pairs.
+    Only pages without inbound links are held against the log. A slug lies inside one run of its letters, so the
+    log's distinct runs are all that is searched: a slug is joined to them by that of its three-letter
+    grams that the fewest runs hold (a shorter slug by all of it), and compared; never all pairs.
     """
     links = pages.filter(~F.col("generated")).select(F.col("slug").alias("src"), F.explode(F.transform(wikilinks("body"), lambda x: x["target"])).alias("target"))
     linked = folded(links, first_aliases(pages)).select(F.col("target").alias("slug")).distinct()
     lone = pages.filter(~F.col("generated")).join(linked, "slug", "left_anti")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    # a slug's rarest-looking gram is its last one; every text that contains the slug contains it
-    keyed = lone.filter(F.length("slug") >= 3).select("slug", F.substring("slug", -3, 3).alias("gram"))
-    said = log.select("text", F.explode(grams(F.col("text"))).alias("gram"))
-    named = keyed.join(said, "gram").filter(F.contains("text", F.col("slug"))).select("slug").distinct()
-    short = lone.filter(F.length("slug") < 3).select("slug").join(log.select("text"), F.contains("text", F.col("slug"))).select("slug").distinct()
-    return _finding(lone.join(named.unionByName(short), "slug", "left_anti"), "orphan-page", WARNING, "path", "slug")
+    slugs = lone.select("slug").distinct().withColumn("width", F.least(F.lit(3), F.length("slug"))).filter("width > 0")
+    cut = lambda c, w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - w + 1), lambda i: F.substring(c, i, w)))
+    widths = sorted(r["width"] for r in slugs.select("width").distinct().collect())
+    # slugs may hold letters that names must not have: every run of anything but white space is kept whole
+    runs = log.select(F.explode(F.split("text", r"\s+")).alias("run")).filter("run <> ''").distinct()
+    spaced = slugs.filter(F.col("slug").rlike(r"\s")).select("slug")
+    grams = stable(reduce(DataFrame.unionByName, [runs.filter(F.length("run") >= w).select("run", F.explode(cut(F.col("run"), F.lit(w))).alias("gram")) for w in widths])) if widths else None
+    if grams is None:
+        return _finding(lone, "orphan-page", WARNING, "path", "slug")
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    keyed = slugs.join(spaced, "slug", "left_anti").select("slug", F.explode(cut(F.col("slug"), F.col("width"))).alias("gram"))
+    # a slug with a gram that no run holds is in none; left joins keep it out of the way
+    rated = keyed.join(counts, "gram", "left").groupBy("slug").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
+    named = rated.join(grams, "gram").filter(F.contains("run", F.col("slug"))).select("slug").distinct()
+    return _finding(lone.join(named, "slug", "left_anti"), "orphan-page", WARNING, "path", "slug")
 
 
 def local_tree_checks(tracked: DataFrame, indexed: DataFrame | None, local: str = "sources_local/") -> DataFrame:

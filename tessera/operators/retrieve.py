@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from ..functions.text import keywords, tokens
+from ..plans.stable import stable
+from .topk import CELLS, Best
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+_NEWLINE = re.compile("\n")
 
 
 def top(scored: DataFrame, k: int, *order: Column, by: str = "qid") -> DataFrame:
@@ -19,62 +28,156 @@ def top(scored: DataFrame, k: int, *order: Column, by: str = "qid") -> DataFrame
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    return questions.select("qid", F.explode(keywords("question")).alias("term"))
+#: Questions held against the corpus in one pass.
+BLOCK = 2048
 
 
-def postings(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(slug, term, tf) and (slug, dl): tf is counted inside a page's row, so only distinct words leave it."""
-    words = pages.select("slug", tokens("body").alias("w"))
-    sizes = words.select("slug", F.size("w").alias("dl"))
-    tf = words.select("slug", F.explode("w").alias("term")).groupBy("slug", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf, sizes
+def _blocks(questions: DataFrame) -> tuple[pa.DataType, list[list[tuple]]]:
+    """The stated query set: (qid, keywords) in blocks; rows that share a qid are one question."""
+    asked: dict = {}
+    for r in questions.select("qid", keywords("question").alias("terms")).collect():
+        asked.setdefault(r["qid"], set()).update(r["terms"] or ())
+    kind = to_arrow_type(questions.schema["qid"].dataType)
+    rows = sorted(((q, sorted(t)) for q, t in asked.items() if t), key=lambda x: str(x[0]))
+    return kind, [rows[a : a + BLOCK] for a in range(0, len(rows), BLOCK)]
 
 
-def bm25_scores(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """qid, slug, score of every page that shares a keyword with the question.
+class Asked:
+    """A block of questions: its terms and, for each term, the questions that ask for it."""
 
-    Only words that some question asks for are counted: the semi-join comes before the aggregation.
+    def __init__(self, rows: list[tuple]):
+        self.qids = [q for q, _ in rows]
+        self.terms = sorted({t for _, own in rows for t in own})
+        number = {t: n for n, t in enumerate(self.terms)}
+        pairs = sorted((number[t], q) for q, (_, own) in enumerate(rows) for t in own)
+        self.question = np.array([q for _, q in pairs], np.int64)
+        self.first = np.searchsorted(np.array([t for t, _ in pairs], np.int64), np.arange(len(self.terms) + 1))
+
+    def spread(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of some terms, every question that asks for it: (place in term, question)."""
+        count = self.first[term + 1] - self.first[term]
+        place = np.repeat(np.arange(len(term)), count)
+        at = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[term], count)
+        return place, self.question[at]
+
+
+def _rows(best: Best, qids: list, kind: pa.DataType) -> pa.RecordBatch:
+    question, score, name = best.prune()
+    return pa.RecordBatch.from_arrays([pa.array([qids[q] for q in question.tolist()], kind), pa.array([str(x).replace("\0", "/") for x in name.tolist()], pa.string()), pa.array(score)], names=["qid", "slug", "score"])
+
+
+def term_counts(pages: DataFrame, terms: list[str]) -> DataFrame:
+    """slug, dl, term (numbers of the asked terms in the page), tf: a forward index, made in one pass and without a shuffle.
+
+    It may be stored and serve any number of questions that ask for these terms.
     """
-    wanted = question_terms(questions)
-    asked = wanted.select("term").distinct()
-    words = pages.select("slug", tokens("body").alias("w"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    used = words.select("slug", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked, "term", "left_semi")
-    tf = used.groupBy("slug", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    raw = F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.when(raw > 0, raw).otherwise(FLOOR).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = tf.join(idf, "term").select("slug", "term", part.alias("part"))
-    return weighed.join(wanted, "term").groupBy("qid", "slug").agg(F.round(F.sum("part"), 9).alias("score"))
+    shared = pages.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
+            lengths = np.diff(words.offsets.to_numpy())
+            code = pc.fill_null(pc.index_in(words.flatten(), shared.value), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), lengths)
+            pair, tf = np.unique(row[code >= 0] * max(1, len(terms)) + code[code >= 0], return_counts=True)
+            cuts = pa.array(np.searchsorted(pair, np.arange(b.num_rows + 1) * max(1, len(terms))), pa.int32())
+            term = pa.ListArray.from_arrays(cuts, pa.array(pair % max(1, len(terms)), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), term, pa.ListArray.from_arrays(cuts, pa.array(tf, pa.int32()))], names=["slug", "dl", "term", "tf"])
+
+    return pages.select("slug", tokens("body").alias("w")).mapInArrow(run, "slug string, dl long, term array<int>, tf array<int>")
 
-def bm25(questions: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
-    return top(bm25_scores(questions, pages), k, F.desc("score"), F.col("slug"))
 
+def bm25(questions: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
+    """qid, slug, score, rank by BM25 over bodies; pages that share no keyword with a question are not ranked.
 
-def matched_runs(runs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(run, term): runs of letters and digits that hold a term of three letters or more, found by joining on the term's first three."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.substring(F.col("run"), i, F.lit(3))))
-    keyed = runs.filter(F.length("run") >= 3).select("run", F.explode(grams).alias("gram"))
-    return keyed.join(terms.select("term", F.substring("term", 1, 3).alias("gram")), "gram").filter(F.contains("run", F.col("term"))).select("run", "term")
+    Pages are tokenised once, into counts of the asked words, which are checkpointed; lengths and document frequencies are
+    summed from them. Blocks of questions are then scored inside the tasks, which pass on k pages a question:
+    pairs of pages and questions are never shuffled.
+    """
+    kind, blocks = _blocks(questions)
+    terms = sorted({t for rows in blocks for _, own in rows for t in own})
+    index = stable(term_counts(pages, terms))
+    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    found = dict(index.select(F.explode("term").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect())
+    df = np.array([found.get(n, 0) for n in range(len(terms))], np.float64)
+    raw = np.log((stats["n"] - df + 0.5) / (df + 0.5)) if stats["n"] else df
+    idf, avgdl = np.where(raw > 0, raw, FLOOR), stats["avgdl"] or 1.0
+    out = [_scored(index, rows, terms, idf, avgdl, k, kind) for rows in blocks]
+    if not out:
+        return questions.sparkSession.createDataFrame([], f"qid {questions.schema['qid'].dataType.simpleString()}, slug string, score double, rank int")
+    return top(reduce(DataFrame.unionByName, out), k, F.desc("score"), F.col("slug"))
+
+
+def _scored(index: DataFrame, rows: list[tuple], terms: list[str], idf: np.ndarray, avgdl: float, k: int, kind: pa.DataType) -> DataFrame:
+    asked = Asked(rows)
+    number = {t: n for n, t in enumerate(asked.terms)}
+    local = np.array([number.get(t, -1) for t in terms], np.int64)
+    shared = index.sparkSession.sparkContext.broadcast((asked, local, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own, weight = shared.value
+        width = len(block.qids)
+        best = Best(k, width)
+        for b in batches:
+            for a in range(0, b.num_rows, max(1, CELLS // width)):
+                part = b.slice(a, max(1, CELLS // width))
+                slugs = np.array(part.column(0).to_pylist())
+                term, tf = (part.column(c).flatten().to_numpy() for c in (2, 3))
+                row = np.repeat(np.arange(part.num_rows), np.diff(part.column(2).offsets.to_numpy()))
+                dl = part.column(1).to_numpy()[row]
+                value = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                mine = np.flatnonzero(own[term] >= 0)
+                place, question = block.spread(own[term[mine]])
+                cell = row[mine][place] * width + question
+                score = np.round(np.bincount(cell, value[mine][place], part.num_rows * width), 9)
+                hit = np.unique(cell)
+                best.add(hit % width, score[hit], slugs[hit // width])
+        yield _rows(best, block.qids, kind)
+
+    return index.mapInArrow(run, f"qid {from_arrow_type(kind).simpleString()}, slug string, score double")
 
 
 def lexical(questions: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
-    """Rank pages by how many of their lines hold a keyword of the question, as a substring in any case.
+    """qid, slug, score, rank by how many of a page's lines hold a keyword of the question, as a substring in any case.
 
-    A keyword is letters and digits only, so it lies inside one run of them: each distinct run is matched with the keywords
-    once, by equi-joins, and lines are joined to the keywords through their runs. A line counts once a question.
+    A line counts once a question. Every page is searched for all keywords of a block of questions in one walk of
+    an Aho-Corasick automaton, inside its task, which passes on k pages a question: neither lines nor
+    pairs of pages and questions are shuffled.
     """
-    wanted = question_terms(questions)
-    runs = lambda t: F.array_distinct(F.filter(F.split(t, "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
-    lines = pages.select("slug", F.posexplode(F.split(F.lower("body"), "\n")).alias("n", "text")).select("slug", "n", F.explode(runs(F.col("text"))).alias("run"))
-    known = matched_runs(lines.select("run").distinct(), wanted.select("term").distinct())
-    asking = known.join(wanted, "term").groupBy("run").agg(F.collect_set("qid").alias("qids"))
-    hits = lines.join(asking, "run").groupBy("slug", "n").agg(F.array_distinct(F.flatten(F.collect_list("qids"))).alias("qids"))
-    counted = hits.select("slug", F.explode("qids").alias("qid")).groupBy("qid", "slug").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return top(counted, k, F.desc("score"), F.split("slug", "/"), F.col("slug"))
+    kind, blocks = _blocks(questions)
+    head = f"qid {questions.schema['qid'].dataType.simpleString()}, slug string, score double"
+    lowered = pages.select("slug", F.lower("body").alias("body"))
+    out = []
+    for rows in blocks:
+        shared = pages.sparkSession.sparkContext.broadcast(Asked(rows))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            width, terms = len(block.qids), len(block.terms)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for n, t in enumerate(block.terms):
+                automaton.add_word(t, n)
+            automaton.make_automaton()
+            best = Best(k, width)
+            for b in batches:
+                for slug, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    hits = list(automaton.iter(body or ""))
+                    if not hits:
+                        continue
+                    at, term = np.array(hits, np.int64).T
+                    ends = np.array([m.start() for m in _NEWLINE.finditer(body)], np.int64)
+                    pair = np.unique(np.searchsorted(ends, at) * terms + term)
+                    place, question = block.spread(pair % terms)
+                    line = np.unique((pair // terms)[place] * width + question)
+                    score = np.bincount(line % width, minlength=width)
+                    hit = np.flatnonzero(score)
+                    best.add(hit, score[hit].astype(np.float64), np.full(len(hit), slug.replace("/", "\0")))
+            yield _rows(best, block.qids, kind)
+
+        out.append(lowered.mapInArrow(run, head))
+    if not out:
+        return questions.sparkSession.createDataFrame([], head + ", rank int")
+    return top(reduce(DataFrame.unionByName, out), k, F.desc("score"), F.split("slug", "/"), F.col("slug"))
 
 
 def fuse(legs: list[DataFrame], k: int = 5, rrf_k: int = 60) -> DataFrame:
@@ -126,3 +229,10 @@ def with_preview(ranked: DataFrame, pages: DataFrame, limit: int = 200) -> DataF
     from ..functions.text import preview
 
     return ranked.join(pages.select("slug", "title", preview("body", limit).alias("preview")), "slug").select("qid", "rank", "slug", "title", "preview")
+
+
+def diagnostics(questions: DataFrame, ranked: DataFrame, strategy: str, note: str | None = None) -> DataFrame:
+    """qid, strategy, results, abstained, note: what a search did for every question, those without a result too."""
+    counted = ranked.groupBy("qid").agg(F.count(F.lit(1)).alias("results"))
+    n = F.coalesce("results", F.lit(0).cast("long"))
+    return questions.select("qid").join(counted, "qid", "left").select("qid", F.lit(strategy).alias("strategy"), n.alias("results"), (n == 0).alias("abstained"), F.lit(note).cast("string").alias("note"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,57 +11,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .topk import CELLS, Best
+
 #: Query vectors held against the corpus in one pass.
 BLOCK = 4096
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float | None = None, exclude_self: bool = False) -> DataFrame:
     """qid, id, sim, rank: the k most similar vectors of each query by cosine, ties by id.
 
-    queries(qid, embedding) are broadcast in blocks of BLOCK; each task multiplies its vectors with a block and
-    keeps k a query, so what is shuffled is k rows a query and task. vectors(id, embedding). The threshold and
-    exclude_self (id = qid) apply before the cut.
+    queries(qid, embedding) are the stated query set: they are broadcast in blocks of BLOCK, and each task multiplies
+    its vectors with a block and keeps the k best a query while slices pass by, so neither its memory nor what is
+    shuffled grows with its vectors. vectors(id, embedding); rows whose vector is null, and queries without one, have no
+    matches. Vectors of another length than the queries' are an error. The threshold and exclude_self (id = qid) apply before the cut.
     """
     spark = queries.sparkSession
-    total = queries.count()
-    blocks = max(1, -(-total // BLOCK))
+    asked = queries.select("qid", "embedding").filter("embedding is not null").orderBy("qid").collect()
+    head = "qid long, id long, sim double"
     parts = []
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    for n in range(blocks):
-        rows = numbered.filter(F.col("block") == n).select("qid", "embedding").orderBy("qid").collect()
-        ids = np.array([r["qid"] for r in rows], np.int64)
-        matrix = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), len(rows[0]["embedding"]) if rows else 0)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    for first in range(0, len(asked), BLOCK):
+        rows = asked[first : first + BLOCK]
+        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), _unit(np.array([r["embedding"] for r in rows], np.float64))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
-            held: list[np.ndarray] = []
+            best = Best(k, len(qids))
             for b in batches:
-                if not b.num_rows or not len(qids):
-                    continue
-                own = b.column(0).to_numpy()
-                v = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
-                size = np.linalg.norm(v, axis=1, keepdims=True)
-                v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-                for a in range(0, len(own), 1024):
-                    sims = np.round(q @ v[a : a + 1024].T, 9)
+                for a in range(0, b.num_rows, max(1, CELLS // len(qids))):
+                    part = b.slice(a, max(1, CELLS // len(qids)))
+                    part = part.filter(part.column(1).is_valid())
+                    if not part.num_rows:
+                        continue
+                    own = part.column(0).to_numpy()
+                    v = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1))
+                    sims = np.round(q @ v.T, 9)
+                    held = sims >= np.maximum(best.least, -np.inf if threshold is None else threshold)[:, None]
                     if exclude_self:
-                        sims[qids[:, None] == own[a : a + 1024]] = -np.inf
-                    if threshold is not None:
-                        sims[sims < threshold] = -np.inf
-                    for i in range(len(qids)):
-                        order = np.lexsort((own[a : a + 1024], -sims[i]))[:k]
-                        order = order[np.isfinite(sims[i][order])]
-                        held.append(np.rec.fromarrays([np.full(len(order), qids[i]), own[a : a + 1024][order], sims[i][order]], names="qid,id,sim"))
-            if held:
-                got = pd.DataFrame(np.concatenate(held)).sort_values(["qid", "sim", "id"], ascending=[True, False, True]).groupby("qid").head(k)
-                yield pa.RecordBatch.from_pandas(got[["qid", "id", "sim"]], preserve_index=False)
-
-        parts.append(vectors.select("id", "embedding").mapInArrow(best, "qid long, id long, sim double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                        held &= qids[:, None] != own
+                    if len(own) > k and np.isinf(best.least).any():
+                        # no row of this slice below its own k-th can count
+                        some = np.where(held, sims, -np.inf)
+                        held &= some >= np.partition(some, len(own) - k, axis=1)[:, len(own) - k][:, None]
+                    query, at = np.nonzero(held)
+                    best.add(query, sims[query, at], own[at])
+                    best.prune()
+            query, sim, name = best.prune()
+            yield pa.RecordBatch.from_arrays([pa.array(qids[query]), pa.array(name.astype(np.int64)), pa.array(sim)], names=["qid", "id", "sim"])
+
+        parts.append(vectors.select("id", "embedding").mapInArrow(run, head))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], head)
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -87,24 +91,49 @@ def constant_embedding(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
     return rows.select(key, F.array_repeat(F.lit(1.0).cast("float"), dims).alias("embedding"))
 
 
-def embed(rows: DataFrame, key: str, text: str, model) -> DataFrame:
-    """key, embedding, error by a model (list of texts -> list of vectors); equal texts are embedded once, a failure is a row's error."""
-    distinct = rows.select(text).distinct()
+def embed(rows: DataFrame, key: str, text: str, model, cache: DataFrame | None = None, batch: int = 64) -> DataFrame:
+    """key, embedding, error, tokens by a model (list of texts -> list of vectors, or of (vector, tokens)).
+
+    Equal texts are embedded once, `batch` of them a call; if a call fails its texts are tried one by one, and a
+    failure is a row's error. Texts that cache(text, embedding) holds are not embedded again and cost no tokens; the
+    tokens of a text stand on every row that has it. A null text has no embedding and no error.
+    """
+    distinct = rows.select(F.col(text).alias("__t")).filter("__t is not null").distinct()
+    if cache is not None:
+        known = cache.select(F.col("text").alias("__t"), F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["__t"])
+        distinct = distinct.join(known.select("__t"), "__t", "left_anti")
 
     def run(frames):
+        def said(texts: list[str]) -> list[tuple]:
+            got = list(model(texts))
+            if len(got) != len(texts):
+                raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+            pairs = [x if isinstance(x, tuple) else (x, 0) for x in got]
+            return [([float(v) for v in vector], None, int(used)) for vector, used in pairs]
+
         for f in frames:
-            vectors, errors = [], []
-            for t in f[text]:
+            texts, out = list(f["__t"]), []
+            for a in range(0, len(texts), batch):
+                some = texts[a : a + batch]
                 try:
-                    vectors.append([float(x) for x in model([t])[0]])
-                    errors.append(None)
-                except Exception as e:  # the error is the row's result
-                    vectors.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({text: f[text], "embedding": vectors, "error": errors})
-
-    done = distinct.mapInPandas(run, f"{text} string, embedding array<double>, error string")
-    return rows.join(done, text).select(key, "embedding", "error")
+                    out += said(some)
+                except Exception:
+                    for t in some:
+                        try:
+                            out += said([t])
+                        except Exception as e:  # the error is the row's result
+                            out.append((None, f"{type(e).__name__}: {e}", 0))
+            yield pd.DataFrame({"__t": texts, "embedding": [o[0] for o in out], "error": [o[1] for o in out], "tokens": [o[2] for o in out]})
+
+    done = distinct.mapInPandas(run, "__t string, embedding array<double>, error string, tokens long")
+    if cache is not None:
+        done = done.unionByName(known.select("__t", "embedding", F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("tokens")))
+    return rows.withColumn("__t", F.col(text)).join(done, "__t", "left").select(key, "embedding", "error", F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"))
+
+
+def usage(embedded: DataFrame, text: str = "text") -> DataFrame:
+    """calls, tokens: distinct texts that were embedded and the tokens they cost. embedded has the text, embedding and tokens."""
+    return embedded.filter("tokens > 0").groupBy(text).agg(F.first("tokens").alias("t")).agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"))
 
 
 def checked_index(meta: DataFrame, model: str, dims: int) -> None:

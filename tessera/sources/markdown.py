@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SLUG, path_to_slug, slugify, title_of
 
 # The block at the start of a page, a top-level scalar line, the known fields in writing order.
-BLOCK = re.compile(r"\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)(?:\r?\n)?(.*)\Z", re.S)
+BLOCK = re.compile(r"\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)(?:\r?\n)?(.*)\Z", re.S)
 SCALAR = re.compile(r"^([A-Za-z_][A-Za-z0-9_-]*):[ \t]+([^>|\n][^\n]*)$", re.M)
 KNOWN = ("title", "slug", "provenance", "created", "updated", "tags", "aliases")
 PAGE = "path string, slug string, declared string, title string, tags array<string>, aliases array<string>, provenance array<struct<path:string,sha256:string,extra:string>>, created timestamp, updated timestamp, extra string, body string, repaired boolean, error string"
@@ -219,7 +220,7 @@ def import_vault(files: DataFrame) -> DataFrame:
     keys = by_stem.unionByName(by_slug).filter("key <> ''")
 
     link = r"\[\[[^\]|#]+(?:#[^|\]]*)?(?:\|[^\]]*)?\]\]"
-    body = F.regexp_replace("content", r"\A---\r?\n(?s:.*?)\r?\n---[ \t]*\r?\n", "")
+    body = F.regexp_replace("content", r"\A---[ \t]*\r?\n(?s:.*?)\r?\n---[ \t]*\r?\n", "")
     notes = own.join(slugs, "path").select("path", "slug", title_of(body, stem).alias("title"), body.alias("body"))
     found = notes.select("path", F.posexplode(F.regexp_extract_all("body", F.lit(link), F.lit(0))).alias("pos", "raw"))
     part = lambda n: F.regexp_extract("raw", r"\[\[([^\]|#]+)(#[^|\]]*)?(?:\|([^\]]*))?\]\]", n)
@@ -233,8 +234,8 @@ def import_vault(files: DataFrame) -> DataFrame:
     return joined.select("path", "slug", "title", F.when(F.col("l").isNull(), F.col("body")).otherwise(woven).alias("body"), F.coalesce("rewritten", F.lit(0)).alias("rewritten"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
 
 
-def write_pages(pages: DataFrame, folder: str) -> None:
-    """Export as a table of (path, content) in Parquet, which any store takes; files of single pages are a matter for the driver."""
+def written(pages: DataFrame) -> DataFrame:
+    """path, content of parsed pages as files; pages with an error are left out."""
 
     def run(frames):
         for f in frames:
@@ -244,4 +245,29 @@ def write_pages(pages: DataFrame, folder: str) -> None:
                 out.append((row["path"], serialise(row)))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    pages.filter("error is null").mapInPandas(run, "path string, content string").write.mode("overwrite").parquet(folder)
+    return pages.filter("error is null").mapInPandas(run, "path string, content string")
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Export as a table of (path, content) in Parquet."""
+    written(pages).write.mode("overwrite").parquet(folder)
+
+
+def write_files(pages: DataFrame, folder: str) -> int:
+    """Export every page as the .md file of its path below a folder that all executors share; the number of files. A task that runs again writes the same files again."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise PageError(f"path {path!r} leaves the folder")
+                target = f"{root.rstrip('/')}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(content.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return sum(r["n"] for r in written(pages).mapInArrow(run, "n long").collect())

@@ -29,11 +29,16 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.sha2(F.col("event_id").cast("string"), 256).alias("sha"), F.col("user_id").alias("author"), F.col("ts").alias("date"), F.concat(prefix, F.lit(": "), k).alias("subject"), F.concat(F.lit("pages/p"), F.col("event_id") % 50, F.lit(".md")).alias("path"))
 
 
+def source_path():
+    """Place of a document as a source, by its hash."""
+    return F.concat("source", F.lit("/"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 12), F.lit("/"), "doc_id", F.lit(".txt"))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rel_path, sha256, document_key, seq: documents as registered versions."""
     d = table(spark, sf_dir, "documents")
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    return d.select(F.concat("source", F.lit("/"), F.substring(sha, 1, 12), F.lit("/"), "doc_id", F.lit(".txt")).alias("rel_path"), sha.alias("sha256"), F.concat("source", F.lit("/"), "lang").alias("document_key"), F.col("doc_id").alias("seq"))
+    return d.select(source_path().alias("rel_path"), sha.alias("sha256"), F.concat("source", F.lit("/"), "lang").alias("document_key"), F.col("doc_id").alias("seq"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:

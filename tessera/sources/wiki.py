@@ -83,7 +83,7 @@ def blocks(q: Dialect) -> dict[str, list[Block]]:
             ("documents", "doc_id % 6 = 0", {"id": "doc_id + 1000000000", "rel_path": own, "pages_touched": q.some(slug("doc_id + 4"))}),
         ],
         "w_refs": [("documents", "doc_id % 7 = 0", {"rel_path": own, "token": slug("2 * doc_id"), "page_slug": slug("2 * doc_id"), "exact": "doc_id % 2 = 0"})],
-        "w_texts": [("documents", "doc_id % 2 = 0", {"rel_path": own, "text": f"concat({text}, {q.newline}, 'names [[', {slug('2 * doc_id')}, ']] and ', {slug('doc_id + 9')}, ' and n', doc_id % 13, ':nowhere', doc_id, ' or ', {alias}, ' at 12:30.')"})],
+        "w_texts": [("documents", "doc_id % 2 = 0", {"rel_path": own, "text": f"concat({text}, {q.newline}, 'names [[', {slug('2 * doc_id')}, ']] and ', {slug('doc_id + 9')}, ' and n', doc_id % 13, ':nowhere', doc_id, ' or ', CASE WHEN doc_id % 20 < 10 THEN {alias} ELSE 'none' END, ' at 12:30.')"})],
         "w_log": [("conversations", every, {"no": "conv_id * 1000 + turn", "text": f"CASE WHEN turn % 2 = 0 THEN concat('- ', {line}, CASE WHEN conv_id % 3 = 0 THEN '? ' ELSE '.' END) ELSE concat('compact of ', {slug('conv_id * 3 + 2')}, ' done') END"})],
         "w_people": [("customer", every, {"text": "CASE c_custkey % 5 WHEN 0 THEN concat('- ', c_name, ' <u', c_custkey, '@x.org> [aliases: U', c_custkey, '@Y.org, v', c_custkey, '@z.org]') WHEN 1 THEN concat('- ', c_name, ' <u', c_custkey, '@x.org>') WHEN 2 THEN concat('- ', c_name, ' <u', c_custkey, '@x.org> [alias: w', c_custkey, '@x.org]') WHEN 3 THEN concat(c_name, ' <u', c_custkey, '@x.org>') ELSE concat('# ', c_name) END"})],
         "w_commits": [("events", every, {"sha": "concat('c', event_id)", "email": f"CASE event_id % 4 WHEN 0 THEN upper({user}) WHEN 1 THEN concat('u', user_id, '@y.org') WHEN 2 THEN concat('w', user_id, '@X.org') ELSE 'who@else.org' END", "subject": "event_type"})],
