@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -87,6 +89,20 @@ def bag_of_words(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFr
     return gathered.select(key, F.when(F.col("ss") > 0, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value)).otherwise(first).alias("embedding"))
 
 
+def bag_model(texts: list[str], dims: int = 64) -> list[list[float]]:
+    """bag_of_words as a model for embed()."""
+    out = []
+    for t in texts:
+        counts = np.zeros(dims)
+        for w in re.findall("[a-z0-9]+", t.lower()):
+            counts[int(hashlib.sha1(w.encode()).hexdigest()[:8], 16) % dims] += 1
+        size = np.linalg.norm(counts)
+        if not size:
+            counts[0] = size = 1.0
+        out.append((counts / size).tolist())
+    return out
+
+
 def constant_embedding(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
     return rows.select(key, F.array_repeat(F.lit(1.0).cast("float"), dims).alias("embedding"))
 
