@@ -303,16 +303,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     of another column of the result), lang_pred, score (0 to 1), bits (a code point of the normalised text in that language).
     Null and empty texts and texts without a letter get `und`, 0 and null, as does everything if nothing was learned. Repeated rows each get their row; an empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), *kept(keep, ("doc_id", "lang_pred", "score", "bits", "__text")), F.col(text_col).alias("__text"))
+    # a text that is carried along anyway goes to the workers once
+    there = text_col in keep
+    slim = docs.select(F.col(id_col).alias("doc_id"), *kept(keep, ("doc_id", "lang_pred", "score", "bits", "__text")), *([] if there else [F.col(text_col).alias("__text")]))
+    own = 1 + len(keep)
+    at = 1 + keep.index(text_col) if there else own
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                langs, scores, rates = predict(shared.value, part.column(part.num_columns - 1).to_pylist())
+                langs, scores, rates = predict(shared.value, part.column(at).to_pylist())
                 new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], "lang_pred", "score", "bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:own], *new], names=[*part.schema.names[:own], "lang_pred", "score", "bits"])
 
     schema = T.StructType([*slim.drop("__text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
     return slim.mapInArrow(run, schema)
