@@ -49,8 +49,8 @@ def blocks(q: Dialect) -> dict[str, list[Block]]:
     i, text = "doc_id", "coalesce(text, '')"
     sha = q.sha(f"concat(doc_id, ':', {text})")
     version = lambda j: f"concat('s', {q.div(j, 8)} % 9, '/f', ({j}), '.md')"
-    own = f"CASE WHEN doc_id % 4 = 0 THEN concat('c', doc_id % 6, '/', substr({sha}, 1, 12), '/r', doc_id % 50, '.md') ELSE {version(i)} END"
-    key = f"CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN concat('c', doc_id % 6, '/r', doc_id % 50) ELSE concat('s', {q.div(i, 8)} % 9, '/k', {q.div(i, 8)}) END"
+    own = f"CASE WHEN doc_id % 4 = 0 THEN concat('c', doc_id % 6, '/', substr({sha}, 1, 12), '/r', doc_id % 10, '.md') ELSE {version(i)} END"
+    key = f"CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN concat('c', doc_id % 6, '/r', doc_id % 10) ELSE concat('s', {q.div(i, 8)} % 9, '/k', {q.div(i, 8)}) END"
     name = f"CASE WHEN doc_id = 7 THEN 'index' WHEN doc_id % 97 = 50 THEN concat('Bad_', doc_id) ELSE {slug(i)} END"
     alias = "concat('alias:a', doc_id - doc_id % 5)"
     links = f"""CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat(' See [[', {slug('2 * doc_id + 1')}, ']]', CASE WHEN doc_id % 6 = 0 THEN concat(' and [[ ', {slug('doc_id + 1')}, ' | next ]] and [[', {slug(i)}, ']]') ELSE '' END,
