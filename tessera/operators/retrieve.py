@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import ahocorasick
@@ -87,32 +88,47 @@ def term_counts(pages: DataFrame, terms: list[str]) -> DataFrame:
     return pages.select("slug", tokens("body").alias("w")).mapInArrow(run, "slug string, dl long, term array<int>, tf array<int>")
 
 
-def bm25(questions: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
-    """qid, slug, score, rank by BM25 over bodies; pages that share no keyword with a question are not ranked.
+@dataclass
+class Index:
+    """Counts of asked words by page, and what BM25 needs to know of all pages; it serves any questions that ask for its words."""
 
-    Pages are tokenised once, into counts of the asked words, which are checkpointed; lengths and document frequencies are
-    summed from them. Blocks of questions are then scored inside the tasks, which pass on k pages a question:
-    pairs of pages and questions are never shuffled.
-    """
-    kind, blocks = _blocks(questions)
+    counts: DataFrame
+    terms: list[str]
+    idf: np.ndarray
+    avgdl: float
+
+
+def bm25_index(questions: DataFrame, pages: DataFrame) -> Index:
+    """Tokenise the pages once and count the words that the questions ask for; the counts are checkpointed."""
+    _, blocks = _blocks(questions)
     terms = sorted({t for rows in blocks for _, own in rows for t in own})
-    index = stable(term_counts(pages, terms))
-    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    found = dict(index.select(F.explode("term").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = stable(term_counts(pages, terms))
+    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    found = dict(counts.select(F.explode("term").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect())
     df = np.array([found.get(n, 0) for n in range(len(terms))], np.float64)
     raw = np.log((stats["n"] - df + 0.5) / (df + 0.5)) if stats["n"] else df
-    idf, avgdl = np.where(raw > 0, raw, FLOOR), stats["avgdl"] or 1.0
-    out = [_scored(index, rows, terms, idf, avgdl, k, kind) for rows in blocks]
+    return Index(counts, terms, np.where(raw > 0, raw, FLOOR), stats["avgdl"] or 1.0)
+
+
+def bm25(questions: DataFrame, pages: DataFrame, k: int = 5, index: Index | None = None) -> DataFrame:
+    """qid, slug, score, rank by BM25 over bodies; pages that share no keyword with a question are not ranked.
+
+    Without an index one is made for these questions; words that a given one lacks are not looked for. Blocks of questions are scored
+    inside the tasks, which pass on k pages a question: pairs of pages and questions are never shuffled.
+    """
+    index = index or bm25_index(questions, pages)
+    kind, blocks = _blocks(questions)
+    out = [_scored(index, rows, k, kind) for rows in blocks]
     if not out:
         return questions.sparkSession.createDataFrame([], f"qid {questions.schema['qid'].dataType.simpleString()}, slug string, score double, rank int")
     return top(reduce(DataFrame.unionByName, out), k, F.desc("score"), F.col("slug"))
 
 
-def _scored(index: DataFrame, rows: list[tuple], terms: list[str], idf: np.ndarray, avgdl: float, k: int, kind: pa.DataType) -> DataFrame:
-    asked = Asked(rows)
+def _scored(index: Index, rows: list[tuple], k: int, kind: pa.DataType) -> DataFrame:
+    asked, avgdl = Asked(rows), index.avgdl
     number = {t: n for n, t in enumerate(asked.terms)}
-    local = np.array([number.get(t, -1) for t in terms], np.int64)
-    shared = index.sparkSession.sparkContext.broadcast((asked, local, idf))
+    local = np.array([number.get(t, -1) for t in index.terms], np.int64)
+    shared = index.counts.sparkSession.sparkContext.broadcast((asked, local, index.idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, own, weight = shared.value
@@ -134,7 +150,7 @@ def _scored(index: DataFrame, rows: list[tuple], terms: list[str], idf: np.ndarr
                 best.add(hit % width, score[hit], slugs[hit // width])
         yield _rows(best, block.qids, kind)
 
-    return index.mapInArrow(run, f"qid {from_arrow_type(kind).simpleString()}, slug string, score double")
+    return index.counts.mapInArrow(run, f"qid {from_arrow_type(kind).simpleString()}, slug string, score double")
 
 
 def lexical(questions: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 import yaml
 
@@ -57,3 +57,29 @@ def load(text: str) -> Settings:
     known = {f.name for f in fields(Settings)}
     out.extra = {k: v for k, v in data.items() if k not in known}
     return out
+
+
+def merged(settings: Settings, **overrides) -> Settings:
+    """Settings with the overrides that are given and known; null ones leave a setting as it is."""
+    names = {f.name for f in fields(Settings)} - {"extra"}
+    unknown = sorted(set(overrides) - names)
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    return replace(settings, **{k: v for k, v in overrides.items() if v is not None})
+
+
+def upserted(text: str, block: str, values: dict) -> str:
+    """A YAML text whose top-level mapping `block` holds the values, all else as it is written; the block is put at the end if it is missing."""
+    lines = text.splitlines()
+    start = next((n for n, line in enumerate(lines) if line.split("#")[0].rstrip() == f"{block}:"), None)
+    held = yaml.safe_load(text) if text.strip() else {}
+    old = held.get(block) if isinstance(held, dict) and isinstance(held.get(block), dict) else {}
+    new = yaml.safe_dump({block: {**old, **values}}, sort_keys=False, allow_unicode=True).rstrip("\n").split("\n")
+    if start is None:
+        return "\n".join([*lines, *new]) + "\n"
+    end = start + 1
+    while end < len(lines) and (not lines[end].strip() or lines[end][0] in " #"):
+        end += 1
+    while lines[end - 1].strip() == "" or lines[end - 1].startswith("#"):
+        end -= 1
+    return "\n".join([*lines[:start], *new, *lines[end:]]) + "\n"

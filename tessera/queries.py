@@ -193,9 +193,11 @@ def _(spark, d):
     return views.pages(spark, d).filter(X.valid_slug("slug")).select("slug").orderBy("slug")
 
 
-@query("a9_capped_text", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN text[1:5000] || '[truncated]' ELSE text END AS text FROM documents")
+@query("a9_capped_text", "SELECT doc_id, CASE WHEN length(text) > 4999 THEN chr(65533) || text[1:4999] || '[truncated]' ELSE chr(65533) || text END AS text FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    return views.table(spark, d, "documents").select("doc_id", F.when(F.length("text") > 5000, F.concat(F.substring("text", 1, 5000), F.lit("[truncated]"))).otherwise(F.col("text")).alias("text"))
+    """Files whose first byte is no UTF-8."""
+    raw = F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary"))
+    return views.table(spark, d, "documents").filter("text is not null").select("doc_id", markdown.source_text(raw, 5000).alias("text"))
 
 
 @query("a10_allowed_sources", f"WITH {wiki.cte('w_paths')} SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN {tuple(X.EXTENSIONS)} AS allowed FROM w_paths")
@@ -1164,3 +1166,26 @@ def _(spark, d):
 def _(spark, d):
     local = wiki.frame(spark, d, "w_local").select("rel_path", F.col("rel_path").alias("token"), F.col("rel_path").alias("page_slug"), F.lit(True).alias("exact"))
     return lineage.listed_refs({"sources": wiki.frame(spark, d, "w_refs"), "sources_local": local})
+
+
+@query(
+    "n16_vault_import",
+    f"""WITH {wiki.cte('w_vault')}, n AS (SELECT *, starts_with(path, 'b/') AS second FROM w_vault WHERE NOT starts_with(path, '.'))
+    SELECT path, CASE WHEN second THEN 'deep-note-' ELSE 'note-' END || doc_id AS slug, second AS collided, CASE WHEN second THEN 0 ELSE 2 END AS rewritten, CASE WHEN second THEN 0 ELSE 1 END AS unresolved,
+      md5(CASE WHEN second THEN content ELSE replace(replace(content, '[[Note ' || doc_id || '#Part|shown]]', '[[note-' || doc_id || '#Part|shown]]'), '[[note-' || doc_id || ']]', '[[note-' || doc_id || '|note-' || doc_id || ']]') END) AS digest FROM n""",
+)
+def _(spark, d):
+    notes = markdown.import_vault(wiki.frame(spark, d, "w_vault").select("path", "content"))
+    return notes.select("path", "slug", "collided", "rewritten", "unresolved", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+@query("f19_import_summary", f"WITH {wiki.cte('w_vault')} SELECT count(*) AS notes, count(*) FILTER (starts_with(path, 'b/')) AS collided, 2 * count(*) FILTER (starts_with(path, 'a/')) AS rewritten, count(*) FILTER (starts_with(path, 'a/')) AS unresolved FROM w_vault WHERE NOT starts_with(path, '.')")
+def _(spark, d):
+    return markdown.import_summary(markdown.import_vault(wiki.frame(spark, d, "w_vault").select("path", "content")))
+
+
+@query("a8_unregistered_sources", f"WITH {wiki.cte('w_disk', 'w_sources')}, f AS (SELECT regexp_replace(path, '^(sources|sources_local)/', '') AS path FROM w_disk) SELECT path FROM f WHERE path NOT IN (SELECT rel_path FROM w_sources)")
+def _(spark, d):
+    files = wiki.frame(spark, d, "w_disk").select(X.source_ref("path").alias("path")).unionByName(spark.createDataFrame([("in/.sources.db",)], "path string"))
+    return markdown.unregistered(files, wiki.frame(spark, d, "w_sources"))
+

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SLUG, path_to_slug, slugify, title_of
+from ..plans.stable import stable
 
 # The block at the start of a page, a top-level scalar line, the known fields in writing order.
 BLOCK = re.compile(r"\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)(?:\r?\n)?(.*)\Z", re.S)
@@ -142,6 +143,18 @@ def serialise(page: dict) -> str:
     return "---\n" + yaml.safe_dump(data, sort_keys=False, allow_unicode=True) + "---\n\n" + page["body"]
 
 
+def source_text(content: Column, cap: int = 200_000) -> Column:
+    """A source's bytes as text: what is no UTF-8 is replaced, and text beyond the cap is cut with a mark."""
+    text = F.make_valid_utf8(content.cast("string"))
+    return F.when(F.length(text) > cap, F.concat(F.substring(text, 1, cap), F.lit("[truncated]"))).otherwise(text)
+
+
+def unregistered(files: DataFrame, registry: DataFrame, names: tuple[str, ...] = (".sources.db",)) -> DataFrame:
+    """Files of the source tree that no row of the registry(rel_path) names, the registry's own files left out."""
+    own = files.filter(~F.regexp_extract("path", "([^/]*)$", 1).isin(*names))
+    return own.join(registry.select(F.col("rel_path").alias("path")), "path", "left_anti")
+
+
 def read_files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """path (below root), content of all files under a folder of any store that Spark reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
@@ -205,16 +218,24 @@ def vault_files(files: DataFrame) -> DataFrame:
 
 
 def import_vault(files: DataFrame) -> DataFrame:
-    """path, slug, title, body, rewritten, unresolved: notes with resolved slugs and links that point to them.
+    """path, slug, title, body, collided, rewritten, unresolved: notes with resolved slugs and links that point to them.
 
-    Slugs depend on all earlier ones, so the list of paths (not the notes) is settled on the driver.
+    A slug depends on earlier ones only where names meet: a note whose names (its stem, alone, led by a parent folder or
+    numbered) are no other note's keeps its stem, and only the paths of the others are settled, in their order, on the driver.
     """
     own = vault_files(files)
-    named = resolve_slugs([r["path"] for r in own.select("path").collect()])
     spark = files.sparkSession
-    slugs = spark.createDataFrame(list(named.items()), "path string, slug string")
     order = F.struct(F.split("path", "/"), F.col("path"))
     stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "")
+    plain = F.when(slugify(stem) != "", slugify(stem)).otherwise(F.lit("page"))
+    parents = F.filter(F.transform(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), slugify), lambda p: p != "")
+    led = own.select("path", plain.alias("stem"), F.array_union(F.array(plain), F.transform(parents, lambda p: F.concat(p, F.lit("-"), plain))).alias("names"))
+    # a numbered name may be another note's stem, so names meet without their numbers
+    names = stable(led.select("path", "stem", F.explode("names").alias("name")).withColumn("name", F.regexp_replace("name", "-[0-9]+$", "")).distinct())
+    shared = names.groupBy("name").agg(F.count_distinct("path").alias("n")).filter("n > 1").select("name")
+    met = stable(names.join(shared, "name", "left_semi").select("path").distinct())
+    settled = spark.createDataFrame(list(resolve_slugs([r["path"] for r in met.collect()]).items()), "path string, slug string")
+    slugs = stable(led.select("path", F.col("stem").alias("slug")).join(met, "path", "left_anti").unionByName(settled))
     by_stem = slugs.groupBy(slugify(stem).alias("key")).agg(F.min_by("slug", order).alias("to"))
     by_slug = slugs.select(F.col("slug").alias("key"), F.col("slug").alias("to")).join(by_stem, "key", "left_anti")
     keys = by_stem.unionByName(by_slug).filter("key <> ''")
@@ -231,7 +252,13 @@ def import_vault(files: DataFrame) -> DataFrame:
     joined = notes.join(each, "path", "left")
     gaps = F.split("body", link, -1)
     woven = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), F.col("l")), lambda x: F.concat(x["g"], F.coalesce(x["l"]["new"], F.lit("")))), "")
-    return joined.select("path", "slug", "title", F.when(F.col("l").isNull(), F.col("body")).otherwise(woven).alias("body"), F.coalesce("rewritten", F.lit(0)).alias("rewritten"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
+    return joined.select("path", "slug", "title", (F.col("slug") != slugify(stem)).alias("collided"), F.when(F.col("l").isNull(), F.col("body")).otherwise(woven).alias("body"), F.coalesce("rewritten", F.lit(0)).alias("rewritten"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
+
+
+def import_summary(notes: DataFrame) -> DataFrame:
+    """One row: notes, collisions, rewritten and unresolved links of import_vault()."""
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c)
+    return notes.agg(F.count(F.lit(1)).alias("notes"), total("collided"), total("rewritten"), total("unresolved"))
 
 
 def written(pages: DataFrame) -> DataFrame:

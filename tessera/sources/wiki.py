@@ -95,6 +95,11 @@ def blocks(q: Dialect) -> dict[str, list[Block]]:
         "w_evals": [("events", every, {"eval_idx": "event_id", "fingerprint": "concat('f', event_id % 500)", "score": "(event_id * 7919) % 1009", "mean_ms": "event_id * 31 % 97"})],
         "w_spelled": [("documents", every, {"spelling": f"CASE doc_id % 5 WHEN 0 THEN {own} WHEN 1 THEN concat('sources/', {version(i)}) WHEN 2 THEN concat('sources_local/', {version(i)}) WHEN 3 THEN concat('nope', doc_id, '.md') ELSE concat('x', doc_id, '.md') END"})],
         "w_titles": [("documents", every, {"stem": "CASE doc_id % 4 WHEN 0 THEN concat('my-great_note-', doc_id) WHEN 1 THEN concat('Plain', doc_id) WHEN 2 THEN '--' ELSE concat('x_', doc_id) END", "body": f"CASE doc_id % 4 WHEN 0 THEN concat({text}, {q.newline}, '  #  Heading ', doc_id, '  ', {q.newline}, '# two') WHEN 1 THEN {text} WHEN 2 THEN concat('## two only', {q.newline}, {line}) ELSE concat('#nospace', {q.newline}, {line}) END"})],
+        "w_vault": [
+            ("documents", every, {"path": "concat('a/Note ', doc_id, '.md')", "doc_id": i, "content": f"concat('see [[Note ', doc_id, '#Part|shown]] and [[Gone', doc_id, ']] and [[note-', doc_id, ']].', {q.newline}, {text})"}),
+            ("documents", "doc_id % 3 = 0", {"path": "concat('b/deep/Note ', doc_id, '.md')", "doc_id": i, "content": text}),
+            ("documents", "doc_id % 5 = 0", {"path": "concat('.hidden/Note ', doc_id, '.md')", "doc_id": i, "content": text}),
+        ],
         "w_sections": [("documents", every, {"slug": "concat('d', doc_id)", "body": f"concat('intro ', doc_id, {q.newline}, '# One', {q.newline}, replace({line}, '#', ''), {q.newline}, '```', {q.newline}, '# no heading', {q.newline}, '```', {q.newline}, '## Two ', doc_id % 3, {q.newline}, 'text', {q.newline}, '### Deep ##', {q.newline}, 'x', {q.newline}, '# Last ', substr({line}, 1, 60))"})],
     }
 

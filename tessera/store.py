@@ -28,6 +28,7 @@ TABLES = {
     "ingestions": ("id long, rel_path string, pages_touched array<string>, ts timestamp", ["id"]),
     "refs": ("rel_path string, token string, page_slug string, exact boolean", ["rel_path", "token"]),
     "stamps": ("rel_path string, scanned_at timestamp", ["rel_path"]),
+    "state": ("name string, value string", ["name"]),
     "chunks": ("rel_path string, content_hash string, chunk_index int, content string, embedding array<double>", []),
 }
 #: Changes after which a table is written anew.
@@ -100,7 +101,7 @@ class Store:
 
     def _put(self, name: str, rows: DataFrame, n: int, before: list[str]) -> None:
         folder = f"part-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}/{folder}")
+        (rows.write.partitionBy("day") if name == "log" else rows.write).parquet(f"{self.root}/{name}/{folder}")
         try:
             out = self.fs.create(self._path(name, f"commit-{n:012d}"), False)
         except Exception as e:
@@ -204,6 +205,14 @@ class Store:
         rows = self.table("runs").orderBy(F.desc("ts")).limit(1).collect()
         return rows[0].asDict() if rows else None
 
+    def get_state(self, name: str):
+        """A value kept by name; null if there is none."""
+        rows = self.table("state").filter(F.col("name") == name).limit(1).collect()
+        return json.loads(rows[0]["value"]) if rows else None
+
+    def set_state(self, name: str, value) -> None:
+        self.change("state", self.spark.createDataFrame([(name, json.dumps(value, sort_keys=True))], "name string, value string"))
+
     # --- sources
 
     @property

@@ -35,6 +35,9 @@ def test_store_life(spark, tmp_path):
     assert s.index_level().collect()[0]["name"] == "abx"
     s.append_log("did it")
     s.record_run()
+    s.set_state("seen", {"n": 1})
+    s.set_state("seen", {"n": 2})
+    assert s.get_state("seen") == {"n": 2} and s.get_state("other") is None
     assert s.log.count() == 1 and s.last_run()["head"] == s.head("pages")
 
 

@@ -357,3 +357,106 @@ def test_vault_import(spark):
     assert (got["a/alpha.md"]["rewritten"], got["a/alpha.md"]["unresolved"]) == (1, 1)
     assert got["b/alpha.md"]["body"] == "[[alpha#sec|s]]" and got["Bêta.md"]["body"] == "see [[b-alpha|b-alpha]]"
     assert markdown.resolve_slugs(["x/a.md", "a.md", "😀.md", "x/😀.md"]) == {"a.md": "a", "x/a.md": "x-a", "x/😀.md": "page", "😀.md": "page-2"}
+
+
+# --- later additions
+
+
+def test_embedding_cache_and_tokens(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(len(texts))
+        return [([float(len(t))], 7) for t in texts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "known"), (3, "a"), (4, None)], "id long, text string")
+    cache = spark.createDataFrame([("known", [9.0])], "text string, embedding array<double>")
+    done = vectors.embed(rows, "id", "text", model, cache=cache)
+    got = {r["id"]: (r["embedding"], r["error"], r["tokens"]) for r in done.collect()}
+    assert got == {1: ([1.0], None, 7), 2: ([9.0], None, 0), 3: ([1.0], None, 7), 4: (None, None, 0)} and calls.value == 1
+    assert vectors.usage(done.join(rows, "id")).collect()[0].asDict() == {"texts": 1, "tokens": 7}
+
+
+def test_knn_with_null_vectors_and_ties(spark):
+    vs = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (4, [0.0, 1.0]), (5, [0.0, 0.0])], "id long, embedding array<double>")
+    qs = spark.createDataFrame([(9, [1.0, 0.0]), (8, None)], "qid long, embedding array<double>")
+    assert sorted((r["qid"], r["rank"], r["id"], r["sim"]) for r in vectors.knn(qs, vs, k=3).collect()) == [(9, 1, 1, 1.0), (9, 2, 3, 1.0), (9, 3, 4, 0.0)]
+    assert vectors.knn(qs.limit(0), vs).collect() == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.integers(0, 50)), max_size=200, unique_by=lambda x: (x[0], x[2])), st.integers(1, 4))
+def test_best_equals_sorting(rows, k):
+    import numpy as np
+
+    from tessera.operators.topk import Best
+
+    best = Best(k, 4)
+    best.most = 5
+    for a in range(0, len(rows), 7):
+        q, s, n = (np.array(x) for x in zip(*rows[a : a + 7], strict=True))
+        best.add(q.astype(np.int64), s.astype(float), n.astype(np.int64))
+    got = sorted(zip(*(x.tolist() for x in best.prune()), strict=True))
+    want = sorted((q, float(s), n) for i in range(4) for q, s, n in sorted((r for r in rows if r[0] == i), key=lambda r: (-r[1], r[2]))[:k])
+    assert got == want
+
+
+def test_neighbours_and_ranks_of_hot_keys(spark):
+    from tessera.plans.ranks import global_rank, next_in_key
+
+    rnd = random.Random(2)
+    rows = [("hot" if i % 3 else f"k{i % 7}", rnd.randint(0, 400), f"p{i:04d}") for i in range(900)] + [(None, 1, "lost")]
+    df = spark.createDataFrame(rows, "k string, seq long, p string")
+    want = {}
+    for key in {r[0] for r in rows} - {None}:
+        own = sorted((s, p) for k, s, p in rows if k == key)
+        want |= {p: (own[n + 1][1] if n + 1 < len(own) else None) for n, (_, p) in enumerate(own)}
+    for buckets in (1, 5, 64):
+        assert {r["p"]: r["next"] for r in next_in_key(df, "k", "seq", "p", "next", buckets).collect()} == want | {"lost": None}
+    ranked = {r["p"]: r["rank"] for r in global_rank(df, [F.col("seq"), F.col("p")]).collect()}
+    assert ranked == {p: n + 1 for n, (_, p) in enumerate(sorted((s, p) for _, s, p in rows))}
+
+
+def test_accents_of_all_letters(spark):
+    one = lambda c: spark.range(1).select(c.alias("c")).collect()[0]["c"]
+    assert one(X.tokens(F.lit("Tiếng Việt e\u0301te\u0323 Ǆ"))) == ["tieng", "viet", "ete", "ǆ"]
+    assert one(X.slugify(F.lit("Tiếng Việt ﬁne Ａ ½ Ⅳ"))) == "tieng-viet-fine-a-12-iv"
+
+
+def test_containment_of_hard_questions(spark):
+    p = spark.createDataFrame([("a", "the same start of it and one end"), ("b", "the same start of it and another end, the same start of it and one end"), ("c", None)], "slug string, body string")
+    asked = [(1, "the same start of it and one end"), (2, "the same start of it and another end"), (3, ""), (4, "x" * 30), (5, "end"), (6, None)]
+    got = {r["qid"]: r["gold"] for r in evaluate.gold_by_containment(spark.createDataFrame(asked, "qid long, question string"), p).collect()}
+    assert got == {1: ["a", "b"], 2: ["b"], 3: ["a", "b"], 4: [], 5: ["a", "b"], 6: []}
+
+
+def test_frontmatter_may_open_with_blanks_and_pages_become_files(spark, tmp_path):
+    files = spark.createDataFrame([("x/a.md", "---  \ntitle: A\ntags: [t]\n---\n\nbody\n")], "path string, content string")
+    parsed = markdown.parse_all(files)
+    assert parsed.first()["title"] == "A" and markdown.write_files(parsed, str(tmp_path)) == 1
+    again = markdown.parse_all(markdown.read_files(spark, str(tmp_path))).first()
+    assert (again["path"], again["body"], again["tags"]) == ("x/a.md", "body\n", ["t"])
+
+
+def test_settings_are_merged_and_blocks_upserted():
+    s = config.merged(config.load("k: 7"), strategy="bm25", rrf_k=None)
+    assert (s.k, s.strategy, s.rrf_k) == (7, "bm25", 60)
+    with pytest.raises(ValueError):
+        config.merged(s, nothing=1)
+    text = "a: 1\n# note\nretrieval:\n  k: 5\n  old: x\n\nlast: 2\n"
+    out = config.upserted(text, "retrieval", {"k": 9})
+    assert out == "a: 1\n# note\nretrieval:\n  k: 9\n  old: x\n\nlast: 2\n"
+    assert config.upserted("", "b", {"c": True}) == "b:\n  c: true\n"
+    assert config.upserted("a: 1", "b", {"c": 1}) == "a: 1\nb:\n  c: 1\n"
+
+
+def test_commits_between_heads(spark):
+    commits = spark.createDataFrame([(x, "me" if x in "bd" else "you") for x in "abcdef"], "sha string, author string")
+    parents = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("f", None)], "sha string, parent string")
+    shas = lambda *a, **k: sorted(r["sha"] for r in history.between_heads(commits, parents, *a, **k).collect())
+    assert shas("b", "d") == ["c", "d"] and shas(None, "c") == ["a", "b", "c"] and shas("a", "e", author="me") == ["b", "d"]
+    assert shas("f", "c") == ["a", "b", "c"] and shas("b", "zz") == []
+    renames = spark.createDataFrame([("old", "mid"), ("mid", "new")], "path string, new_path string")
+    paths = spark.createDataFrame([("old",), ("mid",), ("new",), ("other",)], "path string")
+    assert sorted(r["path"] for r in history.followed(paths, renames, ["new"]).collect()) == ["mid", "new", "old"]
+    assert sorted(r["path"] for r in history.followed(paths, renames, ["new", "other"]).collect()) == ["new", "other"]
