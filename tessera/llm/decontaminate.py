@@ -85,7 +85,7 @@ class Filter:
 
     def places(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and bits of the two marks of each fingerprint."""
-        mixed = prints ^ np.uint64(length) * P
+        mixed = prints ^ np.uint64(length * int(P) % 2**64)
         at = np.stack([mixed * Q >> self.shift, (mixed ^ mixed >> np.uint64(32)) * P >> self.shift])
         return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
 
