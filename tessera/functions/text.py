@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +41,12 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 
 
 _ACCENTED, _PLAIN, _SEVERAL = _decompositions()
+_STRIPPED = str.maketrans(_ACCENTED, _PLAIN)
+
+
+def bare(text: str) -> str:
+    """strip_accents() of a single text."""
+    return regex.sub(r"\p{M}+", "", text.translate(_STRIPPED))
 
 
 def col(c: Column | str) -> Column:

@@ -78,31 +78,42 @@ def pages_of_chunks(matches: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bag_of_words(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
-    """key, embedding: hashed word counts with unit length; a text without words is the first unit vector."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-    bucket = lambda t: (F.conv(F.substring(F.sha1(t.cast("binary")), 1, 8), 16, 10).cast("long") % dims).cast("int")
-    counted = rows.select(key, F.explode_outer(F.transform(words, bucket)).alias("b")).groupBy(key, "b").agg(F.count("b").alias("c"))
-    gathered = counted.groupBy(key).agg(F.sum(F.col("c") * F.col("c")).alias("ss"), F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "c")))).alias("m"))
-    value = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0)) / F.sqrt("ss")
-    first = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    return gathered.select(key, F.when(F.col("ss") > 0, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value)).otherwise(first).alias("embedding"))
-
-
-def bag_model(texts: list[str], dims: int = 64) -> list[list[float]]:
-    """bag_of_words as a model for embed()."""
+#: Words whose places a worker remembers.
+REMEMBERED = 500_000
+_WORD = re.compile("[a-z0-9]+")
+_PLACES: dict[tuple[str, int], int] = {}
+
+
+def _place(word: str, dims: int) -> int:
+    got = _PLACES.get((word, dims))
+    if got is None:
+        got = int(hashlib.sha1(word.encode()).hexdigest()[:8], 16) % dims
+        if len(_PLACES) < REMEMBERED:
+            _PLACES[word, dims] = got
+    return got
+
+
+def bag_model(texts: list[str | None], dims: int = 64) -> list[list[float]]:
+    """Hashed word counts with unit length; a text without words is the first unit vector. A model for embed()."""
     out = []
     for t in texts:
-        counts = np.zeros(dims)
-        for w in re.findall("[a-z0-9]+", t.lower()):
-            counts[int(hashlib.sha1(w.encode()).hexdigest()[:8], 16) % dims] += 1
-        size = np.linalg.norm(counts)
-        if not size:
-            counts[0] = size = 1.0
-        out.append((counts / size).tolist())
+        counts = np.bincount([_place(w, dims) for w in _WORD.findall((t or "").lower())], minlength=dims).astype(np.float64)
+        if not counts.any():
+            counts[0] = 1.0
+        out.append((counts / np.sqrt(np.sum(counts * counts))).tolist())
     return out
 
 
+def bag_of_words(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
+    """key, embedding by bag_model, row by row; a null text has no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bag_model(b.column(1).to_pylist(), dims), pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
 def constant_embedding(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
     return rows.select(key, F.array_repeat(F.lit(1.0).cast("float"), dims).alias("embedding"))
 

@@ -460,3 +460,12 @@ def test_commits_between_heads(spark):
     paths = spark.createDataFrame([("old",), ("mid",), ("new",), ("other",)], "path string")
     assert sorted(r["path"] for r in history.followed(paths, renames, ["new"]).collect()) == ["mid", "new", "old"]
     assert sorted(r["path"] for r in history.followed(paths, renames, ["new", "other"]).collect()) == ["new", "other"]
+
+
+def test_words_in_workers_equal_the_column(spark):
+    rnd = random.Random(11)
+    letters = [chr(c) for c in range(32, 0x250)] + list("\u0301\u0307\u1ebf\u0130\u03a3\u03c2\u4e2d\u0663\u2167\ufb01\u212a\U0001f600") + list("abc AB 12 \n") * 20
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(1500)] + ["", None, "plain ASCII_text, 2x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string").select("id", X.tokens("body").alias("w")).collect()
+    assert all((r["w"] or []) == retrieve.words_of(texts[r["id"]]) for r in rows)
+
