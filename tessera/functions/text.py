@@ -46,7 +46,8 @@ _STRIPPED = str.maketrans(_ACCENTED, _PLAIN)
 
 def bare(text: str) -> str:
     """strip_accents() of a single text."""
-    return regex.sub(r"\p{M}+", "", text.translate(_STRIPPED))
+    plain = text.translate(_STRIPPED)
+    return plain if plain.isascii() else regex.sub(r"\p{M}+", "", plain)
 
 
 def col(c: Column | str) -> Column:

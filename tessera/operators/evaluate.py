@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.ranks import global_rank
-from ..plans.stable import stable
+from ..plans.stable import spread, stable
 
 SATURATED = 0.25
 
@@ -66,7 +66,7 @@ def gold_by_containment(bank: DataFrame, pages: DataFrame) -> DataFrame:
                     hits += [(q, slug) for q in named]
                 yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in hits], kind), pa.array([s for _, s in hits], pa.string())], names=["qid", "slug"])
 
-        found.append(pages.select("slug", "body").mapInArrow(run, head))
+        found.append(spread(pages.select("slug", "body"), "slug").mapInArrow(run, head))
     gold = reduce(DataFrame.unionByName, found).groupBy("qid").agg(F.sort_array(F.collect_set("slug")).alias("gold"))
     return bank.join(gold, "qid", "left").select("qid", "question", F.coalesce("gold", F.array().cast("array<string>")).alias("gold"))
 

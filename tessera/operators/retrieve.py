@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from ..functions.text import bare, keywords
-from ..plans.stable import stable
+from ..plans.stable import spread, stable
 from .topk import CELLS, Best
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -74,7 +74,8 @@ _WORD, _PLAIN_WORD = regex.compile(r"[\p{L}\p{N}]+"), re.compile("[a-z0-9]+")
 def words_of(text: str | None) -> list[str]:
     """tokens() of a single text: in a worker, where it costs a fraction of the split column and leaves no array to pass on."""
     low = (text or "").lower()
-    return _PLAIN_WORD.findall(low) if low.isascii() else _WORD.findall(bare(low))
+    low = low if low.isascii() else bare(low)
+    return _PLAIN_WORD.findall(low) if low.isascii() else _WORD.findall(low)
 
 
 def term_counts(pages: DataFrame, terms: list[str]) -> DataFrame:
@@ -90,14 +91,15 @@ def term_counts(pages: DataFrame, terms: list[str]) -> DataFrame:
             lengths, term, tf = [], [], []
             for body in b.column(1):
                 words = words_of(body.as_py())
-                own = Counter(number[w] for w in words if w in number)
+                counts = Counter(words)
+                own = sorted((number[w], counts[w]) for w in counts.keys() & number.keys())
                 lengths.append(len(words))
-                term.append(sorted(own))
-                tf.append([own[n] for n in term[-1]])
+                term.append([n for n, _ in own])
+                tf.append([c for _, c in own])
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.array(term, kind), pa.array(tf, kind)], names=["slug", "dl", "term", "tf"])
 
-    return pages.select("slug", "body").mapInArrow(run, "slug string, dl long, term array<int>, tf array<int>")
+    return spread(pages.select("slug", "body"), "slug").mapInArrow(run, "slug string, dl long, term array<int>, tf array<int>")
 
 
 @dataclass
@@ -174,7 +176,7 @@ def lexical(questions: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
     """
     kind, blocks = _blocks(questions)
     head = f"qid {questions.schema['qid'].dataType.simpleString()}, slug string, score double"
-    lowered = pages.select("slug", F.lower("body").alias("body"))
+    lowered = spread(pages.select("slug", F.lower("body").alias("body")), "slug")
     out = []
     for rows in blocks:
         shared = pages.sparkSession.sparkContext.broadcast(Asked(rows))

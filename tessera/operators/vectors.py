@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stable import spread
 from .topk import CELLS, Best
 
 #: Query vectors held against the corpus in one pass.
@@ -111,7 +112,7 @@ def bag_of_words(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFr
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bag_model(b.column(1).to_pylist(), dims), pa.list_(pa.float64()))], names=[key, "embedding"])
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>")
+    return spread(rows.select(key, text), key).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>")
 
 
 def constant_embedding(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:

@@ -16,3 +16,13 @@ def stable(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+#: Bytes of a plan's input below which its rows are dealt to all cores: a small file may be a single row group, which one task would read alone.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt by a key over all cores if its input is small; a larger one has its own many partitions and is not shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < SMALL_BYTES else df
