@@ -94,23 +94,30 @@ def _place(word: str, dims: int) -> int:
     return got
 
 
+def _counts(text: str | None, dims: int) -> np.ndarray:
+    """Words by place. Python makes two characters of a dotted capital I, SQL one."""
+    return np.bincount([_place(w, dims) for w in _WORD.findall((text or "").replace("\u0130", "i").lower())], minlength=dims).astype(np.float64)
+
+
 def bag_model(texts: list[str | None], dims: int = 64) -> list[list[float]]:
     """Hashed word counts with unit length; a text without words is the first unit vector. A model for embed()."""
     out = []
     for t in texts:
-        counts = np.bincount([_place(w, dims) for w in _WORD.findall((t or "").lower())], minlength=dims).astype(np.float64)
+        counts = _counts(t, dims)
         if not counts.any():
             counts[0] = 1.0
         out.append((counts / np.sqrt(np.sum(counts * counts))).tolist())
     return out
 
 
-def bag_of_words(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
-    """key, embedding by bag_model, row by row; a null text has no words."""
+def bag_of_words(rows: DataFrame, key: str, text: str, dims: int = 64, unit: bool = True) -> DataFrame:
+    """key, embedding by bag_model, row by row; a null text has no words. Without unit, the bare counts: all 0 where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bag_model(b.column(1).to_pylist(), dims), pa.list_(pa.float64()))], names=[key, "embedding"])
+            texts = b.column(1).to_pylist()
+            found = bag_model(texts, dims) if unit else [_counts(t, dims) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], names=[key, "embedding"])
 
     return spread(rows.select(key, text), key).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>")
 
