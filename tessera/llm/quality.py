@@ -53,6 +53,14 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def weighed(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """z @ weights, summed in one order: a product of matrices rounds a row differently by the rows beside it."""
+    out = np.zeros(len(z))
+    for column, weight in zip(z.T, weights, strict=True):
+        out += column * weight
+    return out
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -63,7 +71,7 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; the cut scores 0.3."""
-        raw = ((x - self.mean) / self.scale) @ self.weights
+        raw = weighed((x - self.mean) / self.scale, self.weights)
         return 1 / (1 + np.exp(-np.clip(self.gain * (raw - self.cut) + np.log(0.3 / 0.7), -500, 500)))
 
 
@@ -91,7 +99,7 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int =
         w -= step / max(1.0, float(np.abs(step).max()) / 2)
         if np.abs(step).max() < 1e-6:
             break
-    s = z @ w
+    s = weighed(z, w)
     order = np.argsort(s, kind="stable")
     wrong = np.r_[0, np.cumsum(np.where(y[order] == 1, 1, -1))] + len(bad)
     share = int(np.argmin(wrong)) / len(s)

@@ -96,6 +96,16 @@ def test_query_equals_brute_force(spark):
     assert np.allclose([got[i] for i in ids], full.score(np.array([slow_features(texts[i]) for i in ids], float)), atol=1e-6)
 
 
+def test_score_of_a_row_is_the_same_in_every_batch():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(97, 24))
+    model = quality.Model(rng.normal(size=24), rng.uniform(0.1, 2, 24), rng.normal(size=24), 0.1, 4.0)
+    whole = model.score(x)
+    for size in (1, 2, 3, 4, 7, 16, 33, 96):
+        assert np.concatenate([model.score(x[a : a + size]) for a in range(0, len(x), size)]).tolist() == whole.tolist()
+        assert len(set(model.score(np.repeat(x[:1], size, 0)))) == 1
+
+
 def test_draw_does_not_prefer_a_label(spark):
     docs = spark.createDataFrame([(i % 10, f"{'GOOD' if i % 10 < 5 else 'bad bad'} text {i}") for i in range(2000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 5)) for i in range(10)], "doc_id long, quality int")
