@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,13 @@ _COS = np.where(_U[:, None] == 0, np.sqrt(1 / 8), np.sqrt(1 / 4)) * np.cos((2 *
 #: (coefficient in scan order, sample): whole numbers, so sums in float64 are exact in any order.
 FRACTION = 13
 BASIS = np.rint(np.einsum("ux,vy->uvxy", _COS, _COS).reshape(64, 64)[ZIGZAG] * (1 << FRACTION))
+#: The same divided by a power of two, so sums stay exact.
+_INVERSE = BASIS / (1 << FRACTION)
 CHUNK = 1 << 13
+#: FF is followed by 0 inside a segment and may be repeated before a marker.
+_MARKER = re.compile(rb"\xff[\x01-\xfe]")
+#: Frames that are not progressive with Huffman codes.
+_OTHER_FRAMES = frozenset((0xC0, 0xC1, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)))
 #: Pixels of the largest image: its RGB bytes must fit into one Arrow value.
 MOST_PIXELS = (2**31 - 1024) // 3
 
@@ -48,6 +55,19 @@ def _lookup(counts: bytes, symbols: bytes) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=64)
+def _bytes_read(size: int, low: int) -> np.ndarray:
+    """The coefficient that each byte stands for whose last `size` bits are its value, shifted by low."""
+    values = np.arange(256, dtype=np.int32) & ((1 << size) - 1)
+    return np.where(values >> (size - 1), values, values - (1 << size) + 1) * np.int32(1 << low)
+
+
+def _rows(blocks: np.ndarray) -> slice | np.ndarray:
+    """Rising numbers of blocks as a slice if none is left out."""
+    first, last = int(blocks[0]), int(blocks[-1])
+    return slice(first, last + 1) if last - first + 1 == len(blocks) else blocks
+
+
 @dataclass
 class Component:
     h: int
@@ -55,9 +75,48 @@ class Component:
     quant: int
     rows: int = 0  # blocks that the component itself has
     cols: int = 0
+    shape: tuple[int, ...] = ()
     grid: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, 64), np.int32))  # with the blocks that fill the last MCUs
 
 
+class Units:
+    """The data units of a scan in coding order."""
+
+    def __init__(self, number: np.ndarray, blocks: np.ndarray, per_mcu: int, components: int):
+        self.blocks, self.per_mcu, self.components = blocks, per_mcu, components
+        self.number = number.tolist()  # of the component in the scan
+        #: For each component its places in that order and its blocks' numbers.
+        self.own = [(at, blocks[at]) for at in (np.flatnonzero(number == n) for n in range(components))] if components > 1 else [(slice(None), blocks)]
+
+    def part(self, first: int, last: int) -> Units:
+        """Those between two restarts."""
+        if first == 0 and last >= len(self.blocks):
+            return self
+        return Units(np.array(self.number[first:last], np.int64), self.blocks[first:last], self.per_mcu, self.components)
+
+
+def _units(scan: tuple[tuple[int, int, int, int, int], ...], mcu_rows: int, mcu_cols: int) -> Units:
+    """Units of components of (h, v, rows, columns, columns of the grid)."""
+    if len(scan) == 1:
+        _, _, rows, cols, width = scan[0]
+        blocks = (np.arange(rows)[:, None] * width + np.arange(cols)).ravel()
+        return Units(np.zeros(len(blocks), np.int64), blocks, 1, 1)
+    number, blocks = [], []
+    for n, (h, v, _, _, width) in enumerate(scan):
+        r = (np.arange(mcu_rows) * v)[:, None, None, None] + np.arange(v)[None, None, :, None]
+        k = (np.arange(mcu_cols) * h)[None, :, None, None] + np.arange(h)[None, None, None, :]
+        own = (r * width + k).reshape(-1, v * h)
+        blocks.append(own)
+        number.append(np.full(own.shape, n))
+    return Units(np.concatenate(number, 1).ravel(), np.concatenate(blocks, 1).ravel(), sum(h * v for h, v, *_ in scan), len(scan))
+
+
+#: Units of small images, of which many have one shape.
+_units_again = lru_cache(maxsize=512)(_units)
+#: Blocks of the largest of them.
+SMALL = 1536
+
+
 class Bits:
     """One entropy-coded segment without stuffing."""
 
@@ -120,7 +179,7 @@ class Decoder:
             at += 2 + size
             if marker == 0xC2:
                 self._frame(body)
-            elif marker in (0xC0, 0xC1, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
+            elif marker in _OTHER_FRAMES:
                 raise ValueError("not progressive with Huffman codes")
             elif marker == 0xC4:
                 while body:
@@ -154,77 +213,69 @@ class Decoder:
         for c in self.components.values():
             c.cols, c.rows = -(-(-(-self.width * c.h // self.hmax)) // 8), -(-(-(-self.height * c.v // self.vmax)) // 8)
             c.grid = np.zeros((self.mcu_rows * c.v, self.mcu_cols * c.h, 64), np.int32)
-
-    def _units(self, scan: list[Component]) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """Component number and flat block number of each data unit in coding order; units an MCU; MCUs."""
-        if len(scan) == 1:
-            c = scan[0]
-            blocks = (np.arange(c.rows)[:, None] * c.grid.shape[1] + np.arange(c.cols)).ravel()
-            return np.zeros(len(blocks), np.int64), blocks, 1, len(blocks)
-        number, blocks = [], []
-        for n, c in enumerate(scan):
-            r = (np.arange(self.mcu_rows) * c.v)[:, None, None, None] + np.arange(c.v)[None, None, :, None]
-            k = (np.arange(self.mcu_cols) * c.h)[None, :, None, None] + np.arange(c.h)[None, None, None, :]
-            own = (r * c.grid.shape[1] + k).reshape(-1, c.v * c.h)
-            blocks.append(own)
-            number.append(np.full(own.shape, n))
-        return np.concatenate(number, 1).ravel(), np.concatenate(blocks, 1).ravel(), sum(c.h * c.v for c in scan), self.mcu_rows * self.mcu_cols
+            c.shape = c.h, c.v, c.rows, c.cols, self.mcu_cols * c.h
+        self.units = _units_again if self.mcu_rows * self.mcu_cols * sum(c.h * c.v for c in self.components.values()) <= SMALL else _units
 
     def _scan(self, body: bytes, data: bytes, at: int) -> int:
         n = body[0]
         scan = [(self.components[body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)]
         first, last, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
-        segments, start = [], at
-        while True:
-            at = data.find(b"\xff", at)
-            if at < 0:
+        segments, start, after = [], at, 0xD0
+        while 0xD0 <= after <= 0xD7:
+            found = _MARKER.search(data, start)
+            if not found:
                 raise ValueError("the scan has no end")
-            after = data[at + 1]
-            if after == 0:
-                at += 2
-            elif 0xD0 <= after <= 0xD7:
-                segments.append(data[start:at])
-                start = at = at + 2
-            elif after == 0xFF:
-                at += 1
-            else:
-                segments.append(data[start:at])
-                break
-        number, blocks, per_mcu, mcus = self._units([c for c, _, _ in scan])
-        step = self.restart * per_mcu or len(blocks)
+            at, after = found.start(), data[found.end() - 1]
+            segments.append(data[start:at])
+            start = at + 2
+        if first and n != 1:
+            raise ValueError("a scan of AC values has one component")
+        units = self.units(tuple([c.shape for c, _, _ in scan]), self.mcu_rows, self.mcu_cols)
+        step = self.restart * units.per_mcu or len(units.blocks)
         for i, segment in enumerate(segments):
             bits = Bits(segment.replace(b"\xff\x00", b"\xff"))
-            part = slice(i * step, (i + 1) * step)
+            part = units.part(i * step, (i + 1) * step)
             if first == 0:
-                self._dc(bits, scan, number[part], blocks[part], high, low)
+                self._dc(bits, scan, part, high, low)
             else:
                 c, _, t = scan[0]
                 flat = c.grid.reshape(-1, 64)
                 if high == 0:
-                    self._ac_first(bits, flat, blocks[part], self.tables[1, t], first, last, low)
+                    self._ac_first(bits, flat, part.blocks, self.tables[1, t], first, last, low)
                 else:
-                    self._ac_refine(bits, flat, blocks[part], self.tables[1, t], first, last, low)
+                    self._ac_refine(bits, flat, part.blocks, self.tables[1, t], first, last, low)
         return at
 
-    def _dc(self, bits: Bits, scan: list, number: np.ndarray, blocks: np.ndarray, high: int, low: int) -> None:
+    def _dc(self, bits: Bits, scan: list, units: Units, high: int, low: int) -> None:
         flats = [c.grid.reshape(-1, 64) for c, _, _ in scan]
         if high:
-            got = bits.many(len(blocks)).astype(np.int32) << low
-            for n, flat in enumerate(flats):
-                own = number == n
-                flat[blocks[own], 0] |= got[own]
+            got = bits.many(len(units.blocks)).astype(np.int32) << low
+            for flat, (at, blocks) in zip(flats, units.own, strict=True):
+                flat[blocks, 0] |= got[at]
             return
         lookups = [_lookup(*self.tables[0, t]) for _, t, _ in scan]
-        last = [0] * len(scan)
-        values = np.empty(len(blocks), np.int32)
-        for i, n in enumerate(number.tolist()):
-            size = bits.code(lookups[n])
+        last, values = [0] * len(scan), []
+        data, at = bits.data + bytes(5 * len(units.number)), bits.at
+        for n in units.number:
+            # 40 bits ahead hold a code and a value of up to 17 bits, wherever in a byte they begin
+            p, skip = at >> 3, at & 7
+            ahead = int.from_bytes(data[p : p + 5], "big")
+            got = lookups[n][ahead >> (24 - skip) & 0xFFFF]
+            if not got:
+                raise ValueError("no such Huffman code")
+            at += got >> 8
+            size = got & 255
             if size:
-                last[n] += _extended(bits.take(size), size)
-            values[i] = last[n]
-        for n, flat in enumerate(flats):
-            own = number == n
-            flat[blocks[own], 0] = values[own] << low
+                if size > 17:
+                    raise ValueError("a DC difference of more bits than there are")
+                at += size
+                value = ahead >> (40 - skip - (got >> 8) - size) & ((1 << size) - 1)
+                last[n] += value if value >> (size - 1) else value - (1 << size) + 1
+            values.append(last[n])
+        bits.at = at
+        values = np.array(values, np.int32) << low
+        for flat, (at, blocks) in zip(flats, units.own, strict=True):
+            flat[blocks, 0] = values[at]
 
     def _ac_first(self, bits: Bits, flat: np.ndarray, blocks: np.ndarray, code: tuple[bytes, bytes], first: int, last: int, low: int) -> None:
         counts, symbols = code
@@ -238,12 +289,12 @@ class Decoder:
                 if length + size == 8 and not bits.at & 7:
                     raw = np.frombuffer(bits.data, np.uint8, n, bits.at >> 3)
                     bits.at += 8 * n
-                    values = (raw & ((1 << size) - 1)).astype(np.int32)
+                    values = _bytes_read(size, low)[raw]
                 else:
                     columns = bits.many(n * (length + size)).reshape(n, length + size)[:, length:]
                     values = columns.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
-                values = np.where(values >> (size - 1), values, values - (1 << size) + 1)
-                flat[own, first : last + 1] = values.reshape(len(own), width) * (1 << low)
+                    values = np.where(values >> (size - 1), values, values - (1 << size) + 1) * (1 << low)
+                flat[_rows(own), first : last + 1] = values.reshape(len(own), width)
             return
         lookup, run = _lookup(counts, symbols), 0
         for block in blocks.tolist():
@@ -271,12 +322,18 @@ class Decoder:
         def correct(own: np.ndarray, low_k: int, high_k: int) -> None:
             """A bit for each coefficient of these blocks that has a history."""
             for a in range(0, len(own), CHUNK):
-                some = own[a : a + CHUNK]
+                some = _rows(own[a : a + CHUNK])
                 band = flat[some, low_k:high_k]
                 old = band != 0
-                got = bits.many(int(old.sum())).astype(np.int32)
-                band[old] += np.where(band[old] > 0, got, -got) * one
-                flat[some, low_k:high_k] = band
+                n = int(np.count_nonzero(old))
+                got = bits.many(n).astype(np.int32)
+                if n == band.size:
+                    # the sign without its bit is 0 or -1; with the last bit set it is 1 or -1
+                    band += (band >> 31 | 1) * got.reshape(band.shape) * one
+                else:
+                    band[old] += np.where(band[old] > 0, got, -got) * one
+                if not isinstance(some, slice):
+                    flat[some, low_k:high_k] = band
 
         while i < len(blocks):
             block, k, run = int(blocks[i]), first, 0
@@ -299,8 +356,10 @@ class Decoder:
                     flat[block, k] = value
                 k += 1
             if run:
-                correct(blocks[i : i + 1], k, last + 1)
-                correct(blocks[i + 1 : i + run], first, last + 1)
+                whole = i if k == first else i + 1
+                if whole > i:
+                    correct(blocks[i : i + 1], k, last + 1)
+                correct(blocks[whole : i + run], first, last + 1)
                 i += run
             else:
                 i += 1
@@ -310,11 +369,13 @@ class Decoder:
         out = []
         for c in (self.components[k] for k in self.order):
             rows, cols, _ = c.grid.shape
-            flat, quant = c.grid.reshape(-1, 64), self.quants[c.quant]
+            flat, quant = c.grid.reshape(-1, 64), self.quants[c.quant].astype(np.float64)
             samples = np.empty((len(flat), 64), np.uint8)
             for a in range(0, len(flat), CHUNK):
-                whole = (flat[a : a + CHUNK] * quant).astype(np.float64) @ BASIS
-                samples[a : a + CHUNK] = np.clip(np.floor(whole / (1 << FRACTION) + 0.5) + 128, 0, 255)
+                whole = (flat[a : a + CHUNK] * quant) @ _INVERSE
+                whole += 128.5
+                np.maximum(whole, 0, out=whole)
+                samples[a : a + CHUNK] = np.minimum(whole, 255, out=whole)  # cut to whole numbers from below
             plane = samples.reshape(rows, cols, 8, 8).swapaxes(1, 2).reshape(8 * rows, 8 * cols)
             down, across = self.vmax // c.v, self.hmax // c.h
             if (down, across) != (1, 1):
@@ -330,10 +391,15 @@ class Decoder:
         y, cb, cr = planes[0].astype(np.int32), planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
         half = 1 << 15
         out = np.empty((*y.shape, 3), np.uint8)
+
+        def put(channel: int, value: np.ndarray) -> None:
+            np.maximum(value, 0, out=value)
+            out[:, :, channel] = np.minimum(value, 255, out=value)
+
         # fixed values: 1.402, 0.344136, 0.714136 and 1.772, times 65536
-        out[:, :, 0] = np.clip(y + ((91881 * cr + half) >> 16), 0, 255)
-        out[:, :, 1] = np.clip(y + ((-22554 * cb - 46802 * cr + half) >> 16), 0, 255)
-        out[:, :, 2] = np.clip(y + ((116130 * cb + half) >> 16), 0, 255)
+        put(0, y + ((91881 * cr + half) >> 16))
+        put(1, y + ((-22554 * cb - 46802 * cr + half) >> 16))
+        put(2, y + ((116130 * cb + half) >> 16))
         return out
 
 
@@ -355,21 +421,45 @@ def geometry(blocks: int) -> tuple[int, int]:
     return across, -(-mcus // across)
 
 
-_SIZES = np.array([int(x).bit_length() for x in range(512)])
+_BYTES = np.arange(256, dtype=np.int32)
+#: The coefficient that a byte is, the seven bits of its value without the lowest one (those of b from 128 on, else of b - 255), and the lowest bit of its magnitude.
+_COEFFICIENT = np.where(_BYTES < 128, _BYTES - 255, _BYTES)
+_SEVEN = np.where(_BYTES < 128, 127 - (255 - _BYTES >> 1), _BYTES >> 1).astype(np.uint8)
+_LOWEST = (np.abs(_COEFFICIENT) & 1).astype(np.uint8)
 
 
-def _dc_codes(values: np.ndarray) -> np.ndarray:
-    """Bits of differences: four bits name the size, then the size's bits."""
-    size = _SIZES[np.abs(values)]
+def _dc_table() -> tuple[np.ndarray, np.ndarray]:
+    """For differences from -255 on 13 bits, and how many of them are used: four bits name the size, then the size's bits."""
+    values = np.arange(-255, 256)
+    size = np.array([int(x).bit_length() for x in np.abs(values)])
     extra = np.where(values < 0, values + (1 << size) - 1, values)
-    word = (size << 9 | extra << (9 - size)).astype(np.int64)
-    columns = (word[:, None] >> np.arange(12, -1, -1)) & 1
-    return columns[np.arange(13)[None, :] < (4 + size)[:, None]].astype(np.uint8)
+    word = size << 9 | extra << (9 - size)
+    return ((word[:, None] >> np.arange(12, -1, -1)) & 1).astype(np.uint8), np.arange(13)[None, :] < (4 + size)[:, None]
+
+
+_DC_BITS, _DC_USED = _dc_table()
 
 
 def _stuffed(bits: np.ndarray) -> bytes:
+    packed = np.packbits(bits)
     pad = -len(bits) % 8
-    return np.packbits(np.r_[bits, np.ones(pad, np.uint8)] if pad else bits).tobytes().replace(b"\xff", b"\xff\x00")
+    if pad:
+        packed[-1] |= (1 << pad) - 1
+    return packed.tobytes().replace(b"\xff", b"\xff\x00")
+
+
+_START = b"\xff\xd8"
+_QUANT = _segment(0xDB, b"\0" + b"\x01" * 64)
+_FIRST_TABLES = _huffman(0, 0, {4: list(range(10))}) + _huffman(1, 0, {1: [0x07]})
+_DC_FIRST, _DC_REFINED = (_segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, x])) for x in (0x01, 0x10))
+_BANDS = ((1, 5), (6, 63))
+_AC_FIRST = {(n, first): _segment(0xDA, bytes([1, n, 0, first, last, 0x01])) for n in (1, 2, 3) for first, last in _BANDS}
+_AC_REFINED = {n: _segment(0xDA, bytes([1, n, 1, 1, 63, 0x10])) for n in (1, 2, 3)}
+
+
+@lru_cache(maxsize=256)
+def _runs_table(width: int, sizes: tuple[int, ...]) -> bytes:
+    return _huffman(1, 1, {width: [x << 4 for x in sizes]})
 
 
 def encode(payload: bytes) -> bytes:
@@ -383,41 +473,43 @@ def encode(payload: bytes) -> bytes:
     across, down = geometry(len(payload) // 64)
     mcus = across * down
     data = np.frombuffer(payload.ljust(6 * 64 * mcus, b"\0"), np.uint8).reshape(-1, 64)
-    out = [b"\xff\xd8", _segment(0xFE, b"payload %d" % len(payload)), _segment(0xDB, b"\0" + b"\x01" * 64)]
-    out.append(_segment(0xC2, struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])))
-    out += [_huffman(0, 0, {4: list(range(10))}), _huffman(1, 0, {1: [0x07]})]
-    parts = [data[: 4 * mcus], data[4 * mcus : 5 * mcus], data[5 * mcus :]]
-    luma = parts[0][:, 0].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(mcus, 4)
-    dc = [np.where(x < 128, x.astype(np.int32) - 255, x) for x in (luma.ravel(), parts[1][:, 0], parts[2][:, 0])]
-    steps = [np.diff(x >> 1, prepend=0) for x in dc]
-    order = np.concatenate([steps[0].reshape(mcus, 4), steps[1][:, None], steps[2][:, None]], 1).ravel()
-    every = bytes([3, 1, 0, 2, 0, 3, 0])
-    out += [_segment(0xDA, every + bytes([0, 0, 0x01])), _stuffed(_dc_codes(order))]
-    for n, part in enumerate(parts, 1):
-        # without its lowest bit a byte's magnitude has size 7: the bits of b from 128 on, else of b - 255
-        magnitude = np.where(part < 128, 255 - part.astype(np.int16), part) >> 1
-        seven = np.where(part < 128, 127 - magnitude, magnitude).astype(np.uint8)
-        for first, last in ((1, 5), (6, 63)):
-            # code 0 and seven bits: a byte below 128 each, so nothing needs stuffing
-            out += [_segment(0xDA, bytes([1, n, 0, first, last, 0x01])), seven[:, first : last + 1].tobytes()]
-    low = np.concatenate([(dc[0] & 1).reshape(mcus, 4), (dc[1] & 1)[:, None], (dc[2] & 1)[:, None]], 1).astype(np.uint8)
-    out += [_segment(0xDA, every + bytes([0, 0, 0x10])), _stuffed(low.ravel())]
-    for n, part in enumerate(parts, 1):
-        bits = np.where(part < 128, 255 - part, part)[:, 1:] & 1
-        runs, codes = [], set()
-        for a in range(0, len(part), 32767):
-            own = bits[a : a + 32767]
-            size = len(own).bit_length() - 1
-            codes.add(size)
-            runs.append((size, len(own) - (1 << size), own))
-        codes = sorted(codes)
+    parts = {1: slice(4 * mcus), 2: slice(4 * mcus, 5 * mcus), 3: slice(5 * mcus, None)}
+
+    def mcu_order(values: np.ndarray) -> np.ndarray:
+        """A value of each block as rows of four luma and two chroma blocks."""
+        out = np.empty((mcus, 6), values.dtype)
+        out[:, :4] = values[parts[1]].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(mcus, 4)
+        out[:, 4], out[:, 5] = values[parts[2]], values[parts[3]]
+        return out
+
+    out = [_START, _segment(0xFE, b"payload %d" % len(payload)), _QUANT]
+    out += [_segment(0xC2, struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])), _FIRST_TABLES]
+    dc = mcu_order(data[:, 0])
+    half = _COEFFICIENT[dc] >> 1
+    steps = half.copy()
+    steps[:, 1:4] -= half[:, :3]
+    steps[1:, 0] -= half[:-1, 3]
+    steps[1:, 4:] -= half[:-1, 4:]
+    steps = steps.ravel() + 255
+    out += [_DC_FIRST, _stuffed(_DC_BITS[steps][_DC_USED[steps]])]
+    # code 0 and seven bits: a byte below 128 each, so nothing needs stuffing
+    seven = _SEVEN[data]
+    for n, part in parts.items():
+        for first, last in _BANDS:
+            out += [_AC_FIRST[n, first], seven[part, first : last + 1].tobytes()]
+    out += [_DC_REFINED, _stuffed(_LOWEST[dc].ravel())]
+    lowest = _LOWEST[data]
+    for n, part in parts.items():
+        bits = lowest[part, 1:]
+        runs = [bits[a : a + 32767] for a in range(0, len(bits), 32767)]
+        sizes = [len(own).bit_length() - 1 for own in runs]
+        codes = tuple(sorted(set(sizes)))
         width = 1 if len(codes) == 1 else 4
-        out.append(_huffman(1, 1, {width: [s << 4 for s in codes]}))
         flow = []
-        for size, extra, own in runs:
-            head = codes.index(size) << size | extra
+        for size, own in zip(sizes, runs, strict=True):
+            head = codes.index(size) << size | len(own) - (1 << size)
             flow += [np.array([head >> i & 1 for i in range(width + size - 1, -1, -1)], np.uint8), own.ravel()]
-        out += [_segment(0xDA, bytes([1, n, 1, 1, 63, 0x10])), _stuffed(np.concatenate(flow))]
+        out += [_runs_table(width, codes), _AC_REFINED[n], _stuffed(np.concatenate(flow))]
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -425,7 +517,7 @@ def payload_of(image: Decoder) -> bytes:
     """The bytes that encode() stored, from the coefficients."""
     size = next(int(c.split()[1]) for c in image.comments if c.startswith(b"payload "))
     values = np.concatenate([image.components[k].grid.reshape(-1, 64) for k in image.order])
-    return np.where(values < 0, values + 255, values).astype(np.uint8).tobytes()[:size]
+    return (values + (values >> 31 & 255)).astype(np.uint8).tobytes()[:size]
 
 
 def padded(text: bytes) -> bytes:
@@ -479,7 +571,7 @@ def decode(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = (
         except (ValueError, IndexError, KeyError, StopIteration, struct.error, MemoryError, OverflowError, ZeroDivisionError, AttributeError) as e:
             return {"error": f"{type(e).__name__}: {e}"}
         raw = rgb.tobytes()
-        means = ",".join(f"{int(s) / rgb[:, :, 0].size:.4f}" for s in rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64))
+        means = ",".join(f"{int(rgb[:, :, k].sum(dtype=np.int64)) / rgb[:, :, k].size:.4f}" for k in range(3))
         out = {"height": rgb.shape[0], "width": rgb.shape[1], "feature": f"{rgb.shape[0]}x{rgb.shape[1]}x3;mean={means};crc32={zlib.crc32(raw):08x}", "rgb": raw}
         if digests:
             out |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -245,6 +246,37 @@ def test_query_equals_brute_force(spark, sf):
             assert np.allclose([float(x) for x in means.removeprefix("mean=").split(",")], want.mean(axis=(0, 1)), atol=0.3)
 
 
+def test_small_images_take_few_calls():
+    """What a text of 2 kB costs is calls: they are counted, as seconds differ by machine."""
+    payload = jpeg.padded(random.Random(8).randbytes(2000))
+    media = jpeg.encode(payload)
+    jpeg.payload_of(jpeg.Decoder(media))  # tables of the shape are there from here on
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        again = jpeg.encode(payload)
+        image = jpeg.Decoder(again)
+        image.rgb()
+    finally:
+        sys.setprofile(None)
+    assert again == media and jpeg.payload_of(image) == payload
+    assert calls < 1000
+
+
+def test_scans_that_no_stream_may_have_are_errors():
+    good = jpeg.encode(jpeg.padded(b"some text " * 50))
+    # all three components in the first scan of AC values; then DC differences of 18 bits
+    for old, new in ((b"\xff\xda\0\x08\x01\x01\0\x01\x05\x01", b"\xff\xda\0\x0c\x03\x01\0\x02\0\x03\0\x01\x05\x01"), (bytes(range(10)) + b"\xff\xc4", bytes([18] * 10) + b"\xff\xc4")):
+        assert good.count(old) == 1
+        with pytest.raises(ValueError, match="has one component|more bits than"):
+            jpeg.Decoder(good.replace(old, new))
+
+
 def test_broken_media_are_reported(spark):
     good = jpeg.encode(jpeg.padded(b"some text " * 50))
     rnd = np.random.default_rng(7)
